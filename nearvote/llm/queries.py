@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, line_dedup, sharding, substring_dedup
+from . import decontaminate, exact_dedup, line_dedup, order_minhash, packing, sharding, substring_dedup
 from .common import table
 
 
@@ -20,6 +20,21 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def tokenizer_path() -> str:
+    """A public vocabulary file that is installed on every machine."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), length=2048, end_id=0)
+
+
+def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.classes(table(spark, sf_dir, "documents"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(table(spark, sf_dir, "documents"), at_least=10, min_chars=1)
 
@@ -32,6 +47,8 @@ QUERIES = {
     "op3_sharding": op3_sharding,
     "op4_decontaminate": op4_decontaminate,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_packing": op7_packing,
+    "op8_order_minhash": op8_order_minhash,
     "op9_line_dedup": op9_line_dedup,
     "op10_substring_dedup": op10_substring_dedup,
 }
