@@ -3,11 +3,22 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, line_dedup, order_minhash, packing, sharding, substring_dedup
+from . import decontaminate, exact_dedup, line_dedup, order_minhash, packing, pii, quality, sharding, substring_dedup, toxicity
 from .common import table
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = quality.remainder(F.col("doc_id"), 3) == 1
+    return toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out), 0.7, held_out)
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), n_shards=40)
 
@@ -20,6 +31,12 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = quality.remainder(F.col("doc_id"), 5) == 0
+    return quality.scored(docs, quality.fit(docs, table(spark, sf_dir, "labels"), ~held_out), 0.3, held_out)
+
+
 def tokenizer_path() -> str:
     """A public vocabulary file that is installed on every machine."""
     import public_tokenizers
@@ -44,9 +61,12 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pii": op1_pii,
+    "op2_toxicity": op2_toxicity,
     "op3_sharding": op3_sharding,
     "op4_decontaminate": op4_decontaminate,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_quality": op6_quality,
     "op7_packing": op7_packing,
     "op8_order_minhash": op8_order_minhash,
     "op9_line_dedup": op9_line_dedup,
