@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Bytes of text handled at once; a single longer text is handled alone.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
