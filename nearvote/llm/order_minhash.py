@@ -225,7 +225,7 @@ def _find(nodes: DataFrame, labels_of, at_least: float) -> Classes:
     # what many share is split by a second sketch
     big = live.where(F.col("n") > BIG).groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("i", "bucket"))).alias("all"))
     steps = F.array(F.lit(1), F.lit(2))
-    second = F.flatten(F.transform("all", lambda x: F.transform(steps, lambda d: F.struct((x.i * 4 + d + 100).alias("i"), F.xxhash64(x.bucket, F.element_at(F.filter("all", lambda y: y.i == (x.i + d) % SKETCHES), 1).bucket).alias("bucket"), F.exists("all", lambda y: y.i == (x.i + d) % SKETCHES).alias("has")))))
+    second = F.flatten(F.transform("all", lambda x: F.transform(steps, lambda d: F.struct((x.i * 4 + d + 100).alias("i"), F.xxhash64(x.bucket, F.get(F.filter("all", lambda y: y.i == (x.i + d) % SKETCHES), F.lit(0)).bucket).alias("bucket"), F.exists("all", lambda y: y.i == (x.i + d) % SKETCHES).alias("has")))))
     alone = F.transform("all", lambda x: F.struct(x.i.alias("i"), x.bucket.alias("bucket"), F.lit(True).alias("has")))
     split = big.select("node", "size", F.inline(F.when(F.size("all") > 1, F.filter(second, lambda x: x.has)).otherwise(alone))).drop("has")
     live = live.where(F.col("n") <= BIG).select("node", "size", "i", "bucket").unionByName(split)
