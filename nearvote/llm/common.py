@@ -16,6 +16,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def slim(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Only the identifier and the text, as doc_id and text, found by exact name whatever other columns are called."""
+    neutral, _ = sealed(docs)
+    i, t = docs.columns.index(id_col), docs.columns.index(text_col)
+    return neutral.select(F.col(f"col{i}").alias("doc_id"), F.col(f"col{t}").alias("text"))
+
+
+def sealed(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """docs with columns named col0, col1 ..., which clash with nothing that operators add; and their names before."""
+    return docs.toDF(*(f"col{i}" for i in range(len(docs.columns)))), docs.columns
+
+
 def text_column(name: str = "text") -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(name), F.lit(""))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import cut, sealed, slim
 from .text import ALNUM, Words, chunks, rolling
 
 #: Words of a test item in a row that make a hit.
@@ -170,7 +170,7 @@ def _blocks(benchmark: DataFrame, window: int, item_col: str, text_col: str) ->
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """docs with __n_words, __spans (hit words: first, end, first, end ...) and __items (identifiers of the items that hit)."""
+    """docs with __n_words, __spans (hit words: first, end, first, end ...) and __items (identifiers of the items that hit); docs has no columns of these names."""
     sc = docs.sparkSession.sparkContext
     out, plain = docs, docs.columns
     added = [T.StructField("__n_words", T.LongType()), T.StructField("__spans", T.ArrayType(T.LongType())), T.StructField("__items", T.ArrayType(T.StringType()))]
@@ -198,7 +198,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col:
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated: a row for each row of docs."""
-    marked = mark(docs.select("doc_id", "text"), benchmark, window).drop("text")
+    marked = mark(slim(docs), benchmark, window).drop("text")
     items = F.array_sort(F.array_distinct("__items"))
     # spans of several blocks can overlap
     ends = F.transform(F.expr("sequence(0, cast(size(__spans) div 2 as int) - 1)"), lambda i: F.struct(F.get("__spans", 2 * i).alias("s"), F.get("__spans", 2 * i + 1).alias("e")))
@@ -230,11 +230,13 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
                 rest = [pa.array([m[1] for m in found], pa.string()), *(pa.array([m[k] for m in found], pa.int64()) for k in (2, 3, 4))]
                 yield pa.RecordBatch.from_arrays([ids, *rest], ["doc_id", "item_id", "doc_start", "item_start", "n_words"])
 
-        part = docs.select("doc_id", "text").mapInArrow(search, schema)
+        part = slim(docs).mapInArrow(search, schema)
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text") -> DataFrame:
     """The rows of docs without any hit word, with the columns of docs."""
-    return mark(docs, benchmark, window, text_col).where(F.size("__spans") == 0).select(docs.columns)
+    text_col = f"col{docs.columns.index(text_col)}"
+    docs, names = sealed(docs)
+    return mark(docs, benchmark, window, text_col).where(F.size("__spans") == 0).select(docs.columns).toDF(*names)

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_counted, text_column
+from .common import cut, join_counted, sealed, slim, text_column
 
 KEY = ["digest", "n_bytes", "check"]
 
@@ -46,7 +46,7 @@ def tree_merge(rows: DataFrame, n_runs: int, fan_in: int = 8, keep: str = "small
 
 def groups(docs: DataFrame, keep: str = "smallest", fan_in: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
-    rows = cut(_with_key(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()).withColumn("run", F.spark_partition_id()), "digests")
+    rows = cut(_with_key(slim(docs, id_col, text_col), "doc_id", "text").withColumn("row", F.monotonically_increasing_id()).withColumn("run", F.spark_partition_id()), "digests")
     found = rows.agg(F.max("run"), F.count("*")).first()
     merged = cut(tree_merge(rows, (found[0] or 0) + 1, fan_in, keep), "merged")
     joined = join_counted(rows.drop("run"), merged, KEY, "group_size", found[1])
@@ -61,6 +61,8 @@ def groups(docs: DataFrame, keep: str = "smallest", fan_in: int = 8, id_col: str
 
 def deduplicate(docs: DataFrame, keep: str = "smallest", fan_in: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, one for each different text, with the columns of docs."""
+    id_col, text_col = (f"col{docs.columns.index(c)}" for c in (id_col, text_col))
+    docs, names_before = sealed(docs)
     rows = cut(_with_key(docs, id_col, text_col).withColumn("row", F.lit(0)).withColumn("run", F.spark_partition_id()), "digests")
     merged = tree_merge(rows, (rows.agg(F.max("run")).first()[0] or 0) + 1, fan_in, keep)
     text = text_column(text_col)
@@ -69,4 +71,4 @@ def deduplicate(docs: DataFrame, keep: str = "smallest", fan_in: int = 8, id_col
     stay = merged.select(*(F.col(k).alias(v) for k, v in names.items()), F.col("best.doc_id").alias("__keep"))
     on = [keyed[v] == stay[v] for v in names.values()] + [keyed[id_col].eqNullSafe(stay["__keep"])]
     # the join deals rows out by the same columns, so that repeated rows are found without another exchange
-    return keyed.join(stay, on, "left_semi").dropDuplicates([*names.values(), id_col]).select(docs.columns)
+    return keyed.join(stay, on, "left_semi").dropDuplicates([*names.values(), id_col]).select(docs.columns).toDF(*names_before)

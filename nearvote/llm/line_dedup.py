@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, join_counted, new_path, text_column
+from .common import cut, join_counted, new_path, sealed, slim, text_column
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACE = " \t\n\x0b\x0c\r"
@@ -103,13 +103,15 @@ def _rebuilt(docs: DataFrame, drops: DataFrame, id_col: str, text_col: str) -> D
 
 def line_report(docs: DataFrame, at_least: int = 10, min_chars: int = 1, batches: int = 4, fan_out: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_sha256: a row for each row of docs."""
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    out = _rebuilt(slim, _dropped(slim, at_least, min_chars, batches, fan_out, "doc_id", "text"), "doc_id", "text")
+    docs = slim(docs, id_col, text_col)
+    out = _rebuilt(docs, _dropped(docs, at_least, min_chars, batches, fan_out, "doc_id", "text"), "doc_id", "text")
     n_dropped = F.when(F.col("__drops").isNull(), 0).otherwise(F.size("__drops")).cast("long")
     return out.select("doc_id", F.size("__lines").cast("long").alias("n_lines"), n_dropped.alias("n_dropped"), F.sha2("__kept", 256).alias("kept_sha256"))
 
 
 def deduplicate_lines(docs: DataFrame, at_least: int = 10, min_chars: int = 1, batches: int = 4, fan_out: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the frequent lines taken out of the text; all other columns as they were."""
+    id_col, text_col = (f"col{docs.columns.index(c)}" for c in (id_col, text_col))
+    docs, names = sealed(docs)
     out = _rebuilt(docs, _dropped(docs, at_least, min_chars, batches, fan_out, id_col, text_col), id_col, text_col)
-    return out.withColumn(text_col, F.col("__kept")).select(docs.columns)
+    return out.withColumn(text_col, F.col("__kept")).select(docs.columns).toDF(*names)

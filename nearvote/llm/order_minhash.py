@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, join_counted, text_column
+from .common import cut, join_counted, sealed, slim, text_column
 from .text import ALNUM, Words, chunks, mix, powers, rolling
 
 SHINGLE, SKETCHES, PICKS = 5, 12, 2
@@ -284,14 +284,16 @@ def _grouped(docs: DataFrame, at_least: float) -> DataFrame:
 
 def classes(docs: DataFrame, at_least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, class_id: a row for each row of docs."""
-    text = text_column(text_col)
-    return _grouped(docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")), at_least).select("doc_id", "class_id")
+    text = text_column()
+    return _grouped(slim(docs, id_col, text_col).select("doc_id", F.xxhash64(text).alias("th"), text.alias("text")), at_least).select("doc_id", "class_id")
 
 
 def deduplicate(docs: DataFrame, at_least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs with the smallest identifier of each class, with the columns of docs."""
+    id_col, text_col = (f"col{docs.columns.index(c)}" for c in (id_col, text_col))
+    docs, names = sealed(docs)
     text = text_column(text_col)
     found = _grouped(docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")), at_least)
     stay = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th2"))
     keyed = docs.withColumn("__th", F.xxhash64(text))
-    return keyed.join(stay, keyed[id_col].eqNullSafe(stay["__id"]) & (F.col("__th") == F.col("__th2")), "left_semi").dropDuplicates(["__th", id_col]).select(docs.columns)
+    return keyed.join(stay, keyed[id_col].eqNullSafe(stay["__id"]) & (F.col("__th") == F.col("__th2")), "left_semi").dropDuplicates(["__th", id_col]).select(docs.columns).toDF(*names)

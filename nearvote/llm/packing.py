@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, slim
 
 #: Words that a worker remembers.
 MOST_WORDS = 400_000
@@ -188,7 +188,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 0, m
     default as much as `length` tokens can ever need. A piece that alone exceeds `attention` gets a sequence for itself.
     """
     capacity = (length, most_docs or length, attention or length * length)
-    cutted = cut(pieces(docs.select("doc_id", "text"), tokenizer, length, end_id).withColumn("row", F.monotonically_increasing_id()), "pieces")
+    cutted = cut(pieces(slim(docs), tokenizer, length, end_id).withColumn("row", F.monotonically_increasing_id()), "pieces")
     n_groups = max(1, -(-cutted.count() // GROUP))
     kind = docs.schema["doc_id"].dataType.simpleString()
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_column
+from .common import slim, text_column
 from .text import SPACED, Words, chunks, mix
 
 MOST_ROWS = 20_000
@@ -178,7 +178,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, mo
     """doc_id, text, y of at most `most` allowed rows with a label; labels (at most `most` rows) go to where the texts are."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & allowed).groupBy("doc_id").agg(F.max(label).alias("y"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.select("doc_id", text_column().alias("text")).join(F.broadcast(known), "doc_id")
+    return slim(docs).select("doc_id", text_column().alias("text")).join(F.broadcast(known), "doc_id")
 
 
 def fit(docs: DataFrame, labels: DataFrame, allowed: Column, label: str = "quality", most: int = MOST_ROWS) -> AdditiveModel:
@@ -204,5 +204,5 @@ def scored(docs: DataFrame, model: AdditiveModel, threshold: float, held_out: Co
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(parts) if parts else np.zeros(0))], ["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = docs.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, score double")
+    out = slim(docs).mapInArrow(work, f"doc_id {kind}, score double")
     return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

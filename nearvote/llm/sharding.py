@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, new_path, text_column
+from .common import cut, new_path, slim, text_column
 
 SLOTS = 4096
 #: Parts of a slot that are numbered apart, for smaller sorts.
@@ -92,9 +92,9 @@ def assign(docs: DataFrame, n_shards: int = 40, n_slots: int = SLOTS, map_path:
 
     The map is written to map_path (the shared folder by default), a table for each version.
     """
-    spark, text = docs.sparkSession, text_column(text_col)
-    rows = docs.select(
-        F.col(id_col).alias("doc_id"),
+    spark, text = docs.sparkSession, text_column()
+    rows = slim(docs, id_col, text_col).select(
+        "doc_id",
         (F.octet_length(text) + 16).cast("long").alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
         F.xxhash64(text).alias("h"),

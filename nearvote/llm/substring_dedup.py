@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, join_counted, text_column
+from .common import cut, join_counted, sealed, slim, text_column
 from .text import SPACED, Words, chunks, mix, rolling
 
 #: Words of a gram that can be an anchor, for windows long enough.
@@ -190,8 +190,8 @@ def _removed(docs: DataFrame, window: int) -> DataFrame:
 def _cleaned(docs: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
     """docs with __n_words, __n_removed and __kept, the words that stay, joined by a space."""
     text = text_column(text_col)
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
-    gone = _removed(slim, window).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th2"), F.col("gone").alias("__gone"))
+    hashed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    gone = _removed(hashed, window).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th2"), F.col("gone").alias("__gone"))
     keyed = docs.withColumn("__th", F.xxhash64(text))
     both = keyed.join(gone, (keyed[id_col] == gone["__id"]) & (F.col("__th") == F.col("__th2")), "left").drop("__id", "__th", "__th2")
     at = docs.columns.index(text_col)
@@ -221,11 +221,13 @@ def _cleaned(docs: DataFrame, window: int, id_col: str, text_col: str) -> DataFr
 
 def report(docs: DataFrame, window: int = 50) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256: a row for each row of docs."""
-    out = _cleaned(docs.select("doc_id", "text"), window, "doc_id", "text")
+    out = _cleaned(slim(docs), window, "doc_id", "text")
     return out.select("doc_id", F.col("__n_words").alias("n_words"), F.col("__n_removed").alias("n_removed"), F.sha2("__kept", 256).alias("kept_sha256"))
 
 
 def remove(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with repeated passages taken out of the text; texts that lose nothing stay as they are."""
+    id_col, text_col = (f"col{docs.columns.index(c)}" for c in (id_col, text_col))
+    docs, names = sealed(docs)
     out = _cleaned(docs, window, id_col, text_col)
-    return out.withColumn(text_col, F.when(F.col("__n_removed") > 0, F.col("__kept")).otherwise(F.col(text_col))).select(docs.columns)
+    return out.withColumn(text_col, F.when(F.col("__n_removed") > 0, F.col("__kept")).otherwise(F.col(text_col))).select(docs.columns).toDF(*names)

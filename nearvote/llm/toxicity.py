@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import slim
 from .quality import labelled
 from .text import ALNUM, CHUNK_BYTES, Words, chunks, mix, powers
 
@@ -293,7 +294,7 @@ def scored(docs: DataFrame, net: Network, threshold: float, held_out: Column) ->
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(sent.value, batch.column(1).to_pylist()))], ["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = docs.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, score double")
+    out = slim(docs).mapInArrow(work, f"doc_id {kind}, score double")
     return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
