@@ -178,7 +178,9 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, mo
     """doc_id, text, y of at most `most` allowed rows with a label; labels (at most `most` rows) go to where the texts are."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & allowed).groupBy("doc_id").agg(F.max(label).alias("y"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return slim(docs).select("doc_id", text_column().alias("text")).join(F.broadcast(known), "doc_id")
+    found = slim(docs).select("doc_id", text_column().alias("text")).join(F.broadcast(known), "doc_id")
+    # one text for each identifier, however many rows have it
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, allowed: Column, label: str = "quality", most: int = MOST_ROWS) -> AdditiveModel:

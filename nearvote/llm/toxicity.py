@@ -6,8 +6,8 @@ inputs: stems and endings of words never seen whole). Two recurrent passes, forw
 overlap by half and all are scored; a text is as toxic as its worst window.
 
 Training: texts have labels, windows don't, so in every epoch each text's worst window is taken for it, and for
-harmless texts another one besides. Embeddings start from the shrunken log-odds of words and grams in the training
-texts; all weights then learn by Adam. At most `MOST_ROWS` labelled rows are used, those with the smallest hash of
+harmless texts another one besides. Embeddings start from how surely words and grams speak for toxic training texts; all
+weights then learn by Adam, embeddings slowly, lest they learn single texts by heart. At most `MOST_ROWS` labelled rows are used, those with the smallest hash of
 the identifier.
 
 Defined results: a null or empty text or one without words scores like the least toxic text; repeated rows get equal
@@ -30,10 +30,10 @@ from .common import slim
 from .quality import labelled
 from .text import ALNUM, CHUNK_BYTES, Words, chunks, mix, powers
 
-MOST_ROWS = 4_000
+MOST_ROWS = 5_000
 WINDOW, STRIDE = 32, 16
 BITS, WIDTH, HIDDEN, GRAM = 17, 4, 8, 5
-EPOCHS, BATCH, RATE = 3, 256, 0.01
+EPOCHS, BATCH, RATE, TABLE_RATE = 4, 256, 0.01, 0.1
 _MASK = np.uint64((1 << BITS) - 1)
 
 
@@ -204,14 +204,20 @@ class Network:
         return _sigmoid(worst.astype(float))
 
 
-def _log_odds(of: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """For each bucket the log-odds of toxic texts that hold it, less for buckets of few texts."""
+def _evidence(of: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """For each bucket how surely it speaks for toxic texts, from 0 to 3.
+
+    That is the root of its likelihood ratio, less what the best of so many buckets would reach by chance, so that words
+    which a few toxic texts happen to share count for nothing.
+    """
     hits = np.zeros((2, 1 << BITS))
     for buckets, label in zip(of, y, strict=True):
         hits[int(label), np.unique(buckets)] += 1
-    totals = np.array([[(y == 0).sum() + 1.0], [(y == 1).sum() + 1.0]])
-    share = (hits + 0.5) / totals
-    return (np.log(share[1] / share[0]) * np.clip((hits.sum(0) - 1) / 5, 0, 1)).clip(-6, 6)
+    n, share = hits.sum(0), float(y.mean())
+    with np.errstate(divide="ignore", invalid="ignore"):
+        terms = [np.where(h > 0, h * np.log(h / (n * p)), 0.0) for h, p in ((hits[1], share), (hits[0], 1 - share))]
+    ratio = np.where(hits[1] > n * share, 2 * (terms[0] + terms[1]), 0.0)
+    return np.minimum(3.0, np.sqrt(np.maximum(0.0, ratio - 2 * np.log(max(1, (n > 0).sum())))) / 2)
 
 
 def train(texts: list[str], y: np.ndarray, seed: int = 3) -> Network:
@@ -229,7 +235,7 @@ def train(texts: list[str], y: np.ndarray, seed: int = 3) -> Network:
     for of in (words, grams):
         table = (rng.standard_normal((1 << BITS, WIDTH)) * 0.02).astype(np.float32)
         if 0 < y.sum() < len(y):
-            table[:, 0] = _log_odds(of, y) / 3
+            table[:, 0] = _evidence(of, y)
         tables.append(table)
     net = Network(*tables, prior=-2.0, seed=seed)
     if not 0 < y.sum() < len(y):
@@ -245,7 +251,7 @@ def train(texts: list[str], y: np.ndarray, seed: int = 3) -> Network:
             if not len(windows):
                 continue
             x, _ = net.inputs(v)
-            if step == 0:  # nothing is learned yet: the worst window is that of the largest log-odds
+            if step == 0:  # nothing is learned yet: the worst window is that of the strongest evidence
                 scores = x[windows, 0].max(1) + x[windows, WIDTH].max(1)
             else:
                 scores = np.concatenate([net.forward(x, windows[i : i + 8192])[0] for i in range(0, len(windows), 8192)])
@@ -271,7 +277,8 @@ def _adam(net: Network, moments: dict, gradients: dict, step: int) -> None:
         m, v = moments[name]
         m[rows] = 0.9 * m[rows] + 0.1 * g
         v[rows] = 0.999 * v[rows] + 0.001 * g * g
-        net.p[name][rows] -= RATE * (m[rows] / (1 - 0.9**step)) / (np.sqrt(v[rows] / (1 - 0.999**step)) + 1e-6)
+        rate = RATE * (TABLE_RATE if name in ("words", "grams") else 1.0)
+        net.p[name][rows] -= rate * (m[rows] / (1 - 0.9**step)) / (np.sqrt(v[rows] / (1 - 0.999**step)) + 1e-6)
 
 
 def fit(docs: DataFrame, labels: DataFrame, allowed: Column, label: str = "toxic", most: int = MOST_ROWS) -> Network:
