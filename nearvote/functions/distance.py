@@ -1,36 +1,29 @@
-"""Squared distances in integers, unrolled over dimension columns so that they stay in generated code."""
+"""Squared distances in integers, unrolled over dimension columns so that they stay in generated code.
 
-from __future__ import annotations
+The expressions are built as SQL text: one parse instead of hundreds of calls from Python to the JVM.
+"""
 
-from collections.abc import Callable
-from functools import reduce
-from operator import add
+from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-Pick = Callable[[int], Column]
 
+def _difference(a: str, b: str, j: int) -> str:
+    return f"(cast({a}{j} as bigint) - cast({b}{j} as bigint))"
 
-def squared(x: Column) -> Column:
-    return x * x
 
+def l2_sql(a: str, b: str, dim: int) -> str:
+    """Sum over the dimensions j of (aj - bj) squared, in bigint: 16-bit values can't overflow it."""
+    return " + ".join(f"{_difference(a, b, j)} * {_difference(a, b, j)}" for j in range(dim))
 
-def l2(a: Pick, b: Pick, dim: int) -> Column:
-    """Sum over the dimensions of (a - b) squared, in bigint: 16-bit values can't overflow it."""
-    return reduce(add, [squared(a(j).cast("bigint") - b(j).cast("bigint")) for j in range(dim)])
 
-
-def box_bound(q: Pick, low: Pick, high: Pick, dim: int) -> Column:
-    """The squared distance from q to the box; no point inside the box is nearer."""
-    zero = F.lit(0).cast("bigint")
-    side = lambda j: F.greatest(low(j).cast("bigint") - q(j).cast("bigint"), zero, q(j).cast("bigint") - high(j).cast("bigint"))
-    return reduce(add, [squared(side(j)) for j in range(dim)])
+def l2(a: str, b: str, dim: int) -> Column:
+    """a and b: prefixes of the columns or fields, such as v for v0, v1 ..."""
+    return F.expr(l2_sql(a, b, dim))
 
 
-def column(prefix: str) -> Pick:
-    return lambda j: F.col(f"{prefix}{j}")
-
-
-def field(x: Column, prefix: str) -> Pick:
-    return lambda j: x[f"{prefix}{j}"]
+def box_bound(q: str, low: str, high: str, dim: int) -> Column:
+    """The squared distance from q to the box; no point inside the box is nearer."""
+    side = lambda j: f"greatest({_difference(low, q, j)}, 0L, {_difference(q, high, j)})"
+    return F.expr(" + ".join(f"{side(j)} * {side(j)}" for j in range(dim)))

@@ -36,5 +36,12 @@ def quantise(x: Column) -> Column:
     return F.round(F.greatest(f32(-32768.0), F.least(f32(32767.0), finite * f32(float(SCALE))))).cast("smallint")
 
 
+def quantise_sql(x: str) -> str:
+    """`quantise` as SQL text, for many columns at once."""
+    f = f"cast({x} as float)"
+    finite = f"CASE WHEN isnan({f}) OR abs({f}) = cast('Infinity' as float) THEN cast(0 as float) ELSE {f} END"
+    return f"cast(round(greatest(cast(-32768 as float), least(cast(32767 as float), ({finite}) * cast({SCALE} as float)))) as smallint)"
+
+
 def dequantise(q: Column) -> Column:
     return q.cast("float") * f32(1.0 / SCALE)

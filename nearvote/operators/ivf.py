@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from nearvote.functions.constants import FAST, FULL, K
-from nearvote.functions.distance import box_bound, column, l2
+from nearvote.functions.distance import box_bound, l2
 
 from . import kmeans
 from .topk import gathered, top_k, votes
@@ -21,7 +21,6 @@ def clusters_of(assigned: DataFrame, centres: kmeans.Centres) -> DataFrame:
     boxes = assigned.groupBy("cluster_id").agg(F.count("*").alias("n"), *(F.min(f"v{j}").alias(f"lo{j}") for j in range(dim)), *(F.max(f"v{j}").alias(f"hi{j}") for j in range(dim)))
     all_ = assigned.sparkSession.range(1).select(F.inline(kmeans.centre_column(centres))).withColumnRenamed("id", "cluster_id")
     joined = all_.join(boxes, "cluster_id", "left")
-    zero = lambda c: F.coalesce(c, F.lit(0).cast("smallint")).alias(c)
     return joined.select(
         "cluster_id", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"), *(f"c{j}" for j in range(dim)),
         *(F.coalesce(f"lo{j}", F.lit(0).cast("smallint")).alias(f"lo{j}") for j in range(dim)),
@@ -50,8 +49,8 @@ def visits(queries: DataFrame, clusters: DataFrame, dim: int) -> DataFrame:
     both = _queries(queries, dim).crossJoin(F.broadcast(clusters))
     return both.select(
         "qid", *(f"q{j}" for j in range(dim)), "cluster_id", "n",
-        l2(column("q"), column("c"), dim).alias("centre_dist"),
-        box_bound(column("q"), column("lo"), column("hi"), dim).alias("lb"),
+        l2("q", "c", dim).alias("centre_dist"),
+        box_bound("q", "lo", "hi", dim).alias("lb"),
     )
 
 
@@ -66,7 +65,7 @@ def scan(chosen: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
     """qid, cluster_id, orig_id, is_fraud, dist (and bound, if chosen has it) for the vectors of chosen (qid, q0..., cluster_id)."""
     more = ["bound"] if "bound" in chosen.columns else []
     joined = vectors.join(_if_small(chosen), "cluster_id")
-    return joined.select("qid", "cluster_id", "orig_id", "is_fraud", *more, l2(column("q"), column("v"), dim).alias("dist"))
+    return joined.select("qid", "cluster_id", "orig_id", "is_fraud", *more, l2("q", "v", dim).alias("dist"))
 
 
 def candidates(queries: DataFrame, clusters: DataFrame, vectors: DataFrame, dim: int, k: int = K) -> DataFrame:

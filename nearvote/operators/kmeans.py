@@ -7,7 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearvote.functions.distance import column, field, l2
+from nearvote.functions.distance import l2_sql
 
 #: Centres have at most so many clusters and come to the driver as rows of integers.
 MAX_CLUSTERS = 4_096
@@ -30,16 +30,19 @@ def seeds(vectors: DataFrame, n: int, dim: int) -> Centres:
 
 def centre_column(centres: Centres) -> Column:
     """The centres as a literal array of structs (id, c0, c1 ...)."""
-    dim = len(centres[0])
+    return F.expr(_centre_sql(centres))
+
+
+def _centre_sql(centres: Centres) -> str:
     rows = [{"id": i, **{f"c{j}": x for j, x in enumerate(c)}} for i, c in enumerate(centres)]
-    return F.from_json(F.lit(json.dumps(rows)), "array<struct<id:int," + ",".join(f"c{j}:int" for j in range(dim)) + ">>")
+    kind = "array<struct<id:int," + ",".join(f"c{j}:int" for j in range(len(centres[0]))) + ">>"
+    return f"from_json('{json.dumps(rows)}', '{kind}')"
 
 
 def nearest(centres: Centres) -> Column:
     """The number of the nearest centre, the smallest of equals; no join and no shuffle."""
-    dim = len(centres[0])
-    ranked = F.transform(centre_column(centres), lambda c: F.struct(l2(column("v"), field(c, "c"), dim).alias("dist"), c["id"].alias("id")))
-    return F.array_min(ranked)["id"]
+    dist = l2_sql("v", "c.c", len(centres[0]))
+    return F.expr(f"array_min(transform({_centre_sql(centres)}, c -> struct({dist} AS dist, c.id AS id))).id")
 
 
 def assign(vectors: DataFrame, centres: Centres) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearvote.functions.constants import K
-from nearvote.functions.distance import column, l2
+from nearvote.functions.distance import l2
 
 from .topk import top_k
 
@@ -23,7 +23,7 @@ def _renamed(queries: DataFrame, dim: int) -> DataFrame:
 
 def distances(queries: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
     """qid, orig_id, is_fraud, dist for each query and vector. The queries, a stated and bounded set, go to every task."""
-    return vectors.crossJoin(F.broadcast(_renamed(queries, dim))).select("qid", "orig_id", "is_fraud", l2(column("q"), column("v"), dim).alias("dist"))
+    return vectors.crossJoin(F.broadcast(_renamed(queries, dim))).select("qid", "orig_id", "is_fraud", l2("q", "v", dim).alias("dist"))
 
 
 def bounds(queries: DataFrame, vectors: DataFrame, dim: int, k: int = K) -> DataFrame:
@@ -49,6 +49,6 @@ def exact_knn(queries: DataFrame, vectors: DataFrame, dim: int, k: int = K) -> D
 def _block(queries: DataFrame, vectors: DataFrame, dim: int, k: int) -> DataFrame:
     """A first pass bounds the k-th distance of each query, a second keeps the few pairs within the bound, and only these are ranked."""
     near = _renamed(queries, dim).join(F.broadcast(bounds(queries, vectors, dim, k)), "qid", "left")
-    dist = l2(column("q"), column("v"), dim)
+    dist = l2("q", "v", dim)
     pairs = vectors.crossJoin(F.broadcast(near)).where(F.col("bound").isNull() | (dist <= F.col("bound")))
     return top_k(pairs.select("qid", "orig_id", "is_fraud", dist.alias("dist")), ["qid"], k)

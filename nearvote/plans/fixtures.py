@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from nearvote.functions.constants import DIM
 from nearvote.functions.features import build_vectors
 from nearvote.functions.moments import format_iso, minutes_between
-from nearvote.functions.numeric import quantise
+from nearvote.functions.numeric import quantise_sql
 from nearvote.operators.ivf import build_index
 from nearvote.operators.lineage import materialise
 
@@ -106,7 +106,7 @@ def vec14(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vec64(spark: SparkSession, sf_dir: str) -> DataFrame:
     """orig_id, is_fraud, v0..v63"""
     df = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    return df.select(F.col("vec_id").alias("orig_id"), (F.col("label") % 2 == 1).alias("is_fraud"), *(quantise(F.get("embedding", F.lit(j))).alias(f"v{j}") for j in range(DIM64)))
+    return df.selectExpr("vec_id AS orig_id", "label % 2 = 1 AS is_fraud", *(f"{quantise_sql(f'get(embedding, {j})')} AS v{j}" for j in range(DIM64)))
 
 
 def modulus(spark: SparkSession, sf_dir: str) -> int:

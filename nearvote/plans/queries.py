@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from nearvote.functions.constants import DIM, MCC_RISK
-from nearvote.functions.distance import box_bound, column
 from nearvote.functions.features import amount_ratio, mcc_risk, unknown_merchant
 from nearvote.functions.moments import epoch_seconds
 from nearvote.functions.numeric import clamp01, dequantise, f32, scaled
