@@ -7,9 +7,10 @@ shingles: with M aligned shingles of two documents of n and m, the similarity is
 similarity if order is kept and less if it isn't, and 0.8 or more makes a link. As labels are unique, the alignment
 is a longest increasing run of matching places, found in n log n within the band that 0.8 allows.
 
-A bucket never meets in one task, and its pairs are never all listed. Documents are compared with a few members of each
+A bucket never meets in one task, and its pairs are never all listed. Pairs whose bit maps of 1024 cells show that they
+have too little in common, exactly and at little cost, aren't aligned. Documents are compared with a few members of each
 bucket, chosen by a hash; those that end up in no chosen member's class are compared with twice as many of what is
-left, until nothing is left open. Small buckets are compared in full at once. Buckets of many documents, such as a
+left or more, until nothing is left open. Small buckets are compared in full at once. Buckets of many documents, such as a
 passage that a third of the corpus shares, are first split by a second sketch. Texts with the same words are one node from the start.
 
 Words: A-Z as a-z, runs of ASCII letters, digits and all that isn't ASCII. Texts of one to four words are one shingle.
@@ -22,19 +23,28 @@ from __future__ import annotations
 
 import bisect
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, join_counted, sealed, slim, text_column
+from .common import batches_of, cut, join_counted, sealed, slim, text_column
 from .text import ALNUM, Words, chunks, mix, powers, rolling
 
 SHINGLE, SKETCHES, PICKS = 5, 12, 2
 #: Buckets of up to so many nodes are compared in full; those of more than BIG are split by a second sketch.
 FULL, BIG = 16, 64
+#: Pairs for each node that a round may look at beyond the first few members of each bucket: in the first round, which
+#: settles large classes, and in later ones, when what is left has to be compared in full anyway.
+PAIRS, LATER_PAIRS = 4, 16
+#: Bits of a document's cells, as 64-bit words.
+CELLS = 16
+#: Rows of a batch with two whole documents each.
+PAIR_ROWS = 500
 _ODD = np.random.default_rng(8).integers(0, 1 << 63, (2, SKETCHES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASES = (0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 _LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -79,6 +89,12 @@ class Shingles:
             out.append(mix((total[w.last] - total[w.first]) * powers(pow(m, -1, 1 << 64), max(len(w.hashes), 1))[first] + w.counts.astype(np.uint64)))
         return [row.tobytes() for row in np.stack(out, axis=1)]
 
+    def cells(self) -> np.ndarray:
+        """For each text a bit map of the cells its labels fall into: a cell that only one of two texts has holds a label that the other lacks."""
+        out = np.zeros((len(self.counts), CELLS * 64), bool)
+        out[self.text, (self.labels >> np.uint64(54)).astype(np.int64)] = True
+        return np.packbits(out, axis=1).view(np.int64)
+
     def sketches(self) -> np.ndarray:
         """For each text with words the hash of each sketch: picked labels in text order."""
         some = np.flatnonzero(self.counts)
@@ -137,7 +153,7 @@ def similarity(a: np.ndarray, b: np.ndarray, at_least: float) -> float:
 
 
 def _sketched(docs: DataFrame) -> DataFrame:
-    """doc_id, th, node, size, sketches of docs (doc_id, th, text)."""
+    """doc_id, th, node, size, sketches, cells of docs (doc_id, th, text)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,10 +164,11 @@ def _sketched(docs: DataFrame) -> DataFrame:
                 values = pa.array(s.sketches().ravel().view(np.int64))
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), values)
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(s.names(), pa.binary()), pa.array(s.counts, pa.int32()), lists], ["doc_id", "th", "node", "size", "sketches"])
+                cells = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * CELLS, pa.int32()), pa.array(s.cells().ravel()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(s.names(), pa.binary()), pa.array(s.counts, pa.int32()), lists, cells], ["doc_id", "th", "node", "size", "sketches", "cells"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(work, f"doc_id {kind}, th bigint, node binary, size int, sketches array<bigint>")
+    return docs.mapInArrow(work, f"doc_id {kind}, th bigint, node binary, size int, sketches array<bigint>, cells array<bigint>")
 
 
 def _labelled(docs: DataFrame) -> DataFrame:
@@ -207,7 +224,8 @@ class Classes:
 
     def link(self, pairs: DataFrame) -> None:
         ends = self.of(self.of(pairs, "a", "ca"), "b", "cb")
-        links = cut(ends.select("ca", "cb", "a", "b"), "links")
+        with batches_of(pairs.sparkSession, PAIR_ROWS):
+            links = cut(ends.select("ca", "cb", "a", "b"), "links")
         if links.isEmpty():
             return
         joined = components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
@@ -216,8 +234,25 @@ class Classes:
         self.table = cut(moved.select("node", F.coalesce("now", "comp").alias("comp")), "classes")
 
 
+def _common(n: Column, m: Column, a: Column, b: Column) -> Column:
+    """The most labels that texts of n and m labels with cells a and b can have in common: every cell of one alone costs it a label."""
+    alone = lambda x, y: reduce(add, [F.bit_count(F.get(x, F.lit(k)).bitwiseAND(F.bitwise_not(F.get(y, F.lit(k))))) for k in range(CELLS)])
+    return F.least(n - alone(a, b), m - alone(b, a))
+
+
+def _members(sizes: dict[int, int], least: int, allowed: int) -> int:
+    """How many members of each bucket to compare all others with: as many as make `allowed` pairs, `least` in any case.
+
+    sizes: the number of buckets of each size, a list as short as the square root of the table at most.
+    """
+    chosen = least
+    while sum(k * n * min(n, 2 * chosen) for n, k in sizes.items()) <= allowed and chosen < max(sizes):
+        chosen *= 2
+    return chosen
+
+
 def _find(nodes: DataFrame, labels_of, at_least: float) -> Classes:
-    """Classes of nodes (node, size, sketches)."""
+    """Classes of nodes (node, size, sketches, cells)."""
     classes = Classes(nodes.sparkSession)
     flat = cut(nodes.select("node", "size", F.posexplode("sketches").alias("i", "bucket")), "buckets")
     counts = cut(flat.groupBy("i", "bucket").agg(F.count("*").alias("n")).where("n > 1"), "counts")
@@ -229,24 +264,32 @@ def _find(nodes: DataFrame, labels_of, at_least: float) -> Classes:
     alone = F.transform("all", lambda x: F.struct(x.i.alias("i"), x.bucket.alias("bucket"), F.lit(True).alias("has")))
     split = big.select("node", "size", F.inline(F.when(F.size("all") > 1, F.filter(second, lambda x: x.has)).otherwise(alone))).drop("has")
     live = live.where(F.col("n") <= BIG).select("node", "size", "i", "bucket").unionByName(split)
-    live, chosen, labels = cut(live, "live"), 2, None
+    live, chosen, labels = cut(live, "live"), 1, None
+    n_nodes = nodes.count()
+    cells = nodes.select("node", "cells")
+    allowed = PAIRS * n_nodes
     while True:
         counts = cut(live.groupBy("i", "bucket").agg(F.count("*").alias("n")).where("n > 1"), "counts")
-        if counts.isEmpty():
+        sizes = {r["n"]: r["buckets"] for r in counts.groupBy(F.least("n", F.lit(allowed)).alias("n")).agg(F.count("*").alias("buckets")).collect()}
+        if not sizes:
             return classes
+        chosen = _members(sizes, 2 * chosen, allowed)
         total = live.count()
         live = cut(join_counted(live, counts, ["i", "bucket"], "n", total), "live")
         if labels is None:
             labels = cut(labels_of(live.select("node").distinct()), "labels")
-        most = F.when(F.col("n") <= FULL, FULL).otherwise(chosen)
+        full = max(FULL, chosen)
+        most = F.when(F.col("n") <= full, full).otherwise(chosen)
         rank = F.row_number().over(Window.partitionBy("i", "bucket").orderBy(F.xxhash64("node"), "node"))
-        heads = live.select("i", "bucket", "n", F.col("node").alias("head"), F.col("size").alias("head_size"), rank.alias("rank")).where(F.col("rank") <= max(FULL, chosen)).where(F.col("rank") <= most)
-        heads = cut(heads.drop("n"), "heads")
+        heads = live.select("i", "bucket", "n", F.col("node").alias("head"), F.col("size").alias("head_size"), rank.alias("rank")).where(F.col("rank") <= full).where(F.col("rank") <= most)
+        heads = cut(heads.drop("n").join(cells.select(F.col("node").alias("head"), F.col("cells").alias("head_cells")), "head"), "heads")
         # a bucket has few heads, so they come to its rows as a list
-        lists = heads.groupBy("i", "bucket").agg(F.collect_list(F.struct("head", "head_size", "rank")).alias("heads"))
+        lists = heads.groupBy("i", "bucket").agg(F.collect_list(F.struct("head", "head_size", "head_cells")).alias("heads"))
         lists = lists.join(counts.withColumnRenamed("n", "n_all"), ["i", "bucket"])
-        met = join_counted(live, lists, ["i", "bucket"], "n_all", total)
-        near = F.filter("heads", lambda x: (x.head != F.col("node")) & (F.least(x.head_size, F.col("size")) >= at_least * F.greatest(x.head_size, F.col("size"))))
+        met = join_counted(live.join(cells, "node"), lists, ["i", "bucket"], "n_all", total)
+        need = F.lit(at_least / (1 + at_least))
+        fits = lambda x: _common(F.col("size"), x.head_size, F.col("cells"), x.head_cells) >= need * (x.head_size + F.col("size")) - F.lit(1e-6)
+        near = F.filter("heads", lambda x: (x.head != F.col("node")) & fits(x))
         pairs = met.select("node", F.explode(near).alias("x")).select(F.least("node", "x.head").alias("a"), F.greatest("node", "x.head").alias("b")).distinct()
         pairs = cut(pairs, "pairs")
         # each node with one partner first; pairs whose ends are then in one class need no look
@@ -256,16 +299,16 @@ def _find(nodes: DataFrame, labels_of, at_least: float) -> Classes:
         rest = classes.of(classes.of(pairs, "a", "ca"), "b", "cb").where("ca != cb").select("a", "b").join(first, ["a", "b"], "left_anti")
         classes.link(_verified(rest, labels, at_least))
         # nodes in the class of a chosen member are settled there, and so are chosen members and buckets compared in full
-        open_ = classes.of(live.where(F.col("n") > FULL), "node", "c")
+        open_ = classes.of(live.where(F.col("n") > full), "node", "c")
         settled = classes.of(heads.select("i", "bucket", F.col("head").alias("node")), "node", "c").select("i", "bucket", "c").distinct()
+        allowed = LATER_PAIRS * n_nodes
         live = cut(open_.join(settled, ["i", "bucket", "c"], "left_anti").select("node", "size", "i", "bucket"), "live")
-        chosen *= 2
 
 
 def _grouped(docs: DataFrame, at_least: float) -> DataFrame:
     """doc_id, th, class_id for each row of docs (doc_id, th, text)."""
     rows = cut(_sketched(docs), "sketches")
-    nodes = cut(rows.where("size > 0").groupBy("node").agg(F.first("size").alias("size"), F.first("sketches").alias("sketches"), F.min(F.struct("doc_id", "th")).alias("one"), F.count("*").alias("n")), "nodes")
+    nodes = cut(rows.where("size > 0").groupBy("node").agg(F.first("size").alias("size"), F.first("sketches").alias("sketches"), F.first("cells").alias("cells"), F.min(F.struct("doc_id", "th")).alias("one"), F.count("*").alias("n")), "nodes")
 
     def labels_of(wanted: DataFrame) -> DataFrame:
         which = wanted.join(nodes.select("node", "one"), "node").select("node", F.col("one.doc_id").alias("__id"), F.col("one.th").alias("__th"))
