@@ -8,9 +8,11 @@ similarity if order is kept and less if it isn't, and 0.8 or more makes a link.
 is a longest increasing run of matching places, found in n log n within the band that 0.8 allows.
 
 A bucket never meets in one task, and its pairs are never all listed. Pairs whose bit maps of 1024 cells show that they
-have too little in common, exactly and at little cost, aren't aligned. Documents are compared with a few members of each
-bucket, chosen by a hash; those that end up in no chosen member's class are compared with twice as many of what is
-left or more, until nothing is left open. Small buckets are compared in full at once. Buckets of many documents, such as a
+have too little in common, exactly and at little cost, aren't aligned. In each round all members of a bucket are compared
+with a few of them, chosen by a hash among those not chosen before and not in the class that most of these belong to; each
+round chooses twice as many or more. A bucket is done when all members never chosen are in one class: then each of its
+pairs was either compared or is in one class. The budget of a round says how many rounds there are, not what is
+compared. Buckets of many documents, such as a
 passage that a third of the corpus shares, are first split by a second sketch. Texts with the same words are one node from the start.
 
 Words: A-Z as a-z, runs of ASCII letters, digits and all that isn't ASCII. Texts of one to four words are one shingle.
@@ -36,11 +38,13 @@ from .common import batches_of, cut, join_counted, sealed, slim, text_column
 from .text import ALNUM, Words, chunks, mix, powers, rolling
 
 SHINGLE, SKETCHES, PICKS = 5, 12, 2
-#: Buckets of up to so many nodes are compared in full; those of more than BIG are split by a second sketch.
+#: Buckets of up to so many nodes are compared in one round; those of more than BIG are split by a second sketch.
 FULL, BIG = 16, 64
 #: Pairs for each node that a round may look at beyond the first few members of each bucket: in the first round, which
 #: settles large classes, and in later ones, when what is left has to be compared in full anyway.
 PAIRS, LATER_PAIRS = 4, 16
+#: Chosen members of a bucket that come to its rows in one list, and how often the number of chosen ones may double.
+BLOCK, DOUBLINGS = 64, 40
 #: Bits of a document's cells, as 64-bit words.
 CELLS = 16
 #: Rows of a batch with two whole documents each.
@@ -240,15 +244,15 @@ def _common(n: Column, m: Column, a: Column, b: Column) -> Column:
     return F.least(n - alone(a, b), m - alone(b, a))
 
 
-def _members(sizes: dict[int, int], least: int, allowed: int) -> int:
-    """How many members of each bucket to compare all others with: as many as make `allowed` pairs, `least` in any case.
+def _members(pairs: list[int], least: int, allowed: int) -> int:
+    """The power of two j for how many members of each bucket to choose: as many as make `allowed` pairs, `least` in any case.
 
-    sizes: the number of buckets of each size, a list as short as the square root of the table at most.
+    pairs: how many pairs 2 ** j chosen members of each bucket make.
     """
-    chosen = least
-    while sum(k * n * min(n, 2 * chosen) for n, k in sizes.items()) <= allowed and chosen < max(sizes):
-        chosen *= 2
-    return chosen
+    j = least
+    while j + 1 < len(pairs) and pairs[j] < pairs[j + 1] <= allowed:
+        j += 1
+    return j
 
 
 def _find(nodes: DataFrame, labels_of, at_least: float) -> Classes:
@@ -264,33 +268,43 @@ def _find(nodes: DataFrame, labels_of, at_least: float) -> Classes:
     alone = F.transform("all", lambda x: F.struct(x.i.alias("i"), x.bucket.alias("bucket"), F.lit(True).alias("has")))
     split = big.select("node", "size", F.inline(F.when(F.size("all") > 1, F.filter(second, lambda x: x.has)).otherwise(alone))).drop("has")
     live = live.where(F.col("n") <= BIG).select("node", "size", "i", "bucket").unionByName(split)
-    live, chosen, labels = cut(live, "live"), 1, None
+    # todo: not chosen yet
+    live, power, labels = cut(live.withColumn("todo", F.lit(True)), "live"), 0, None
     n_nodes = nodes.count()
     cells = nodes.select("node", "cells")
     allowed = PAIRS * n_nodes
     while True:
-        counts = cut(live.groupBy("i", "bucket").agg(F.count("*").alias("n")).where("n > 1"), "counts")
-        sizes = {r["n"]: r["buckets"] for r in counts.groupBy(F.least("n", F.lit(allowed)).alias("n")).agg(F.count("*").alias("buckets")).collect()}
-        if not sizes:
+        now = classes.of(live, "node", "c")
+        todo = now.groupBy("i", "bucket", "c").agg(F.count("*").alias("n_all"), F.count_if("todo").alias("n"))
+        counts = todo.groupBy("i", "bucket").agg(F.sum("n_all").alias("n_all"), F.sum("n").alias("n"), F.max(F.struct("n", "c")).alias("top"))
+        counts = cut(counts.select("i", "bucket", "n_all", (F.col("n") - F.col("top.n")).alias("left"), F.col("top.c").alias("top")).where("left > 0"), "counts")
+        pairs = [r or 0 for r in counts.agg(*(F.sum(F.col("n_all") * F.least("left", F.lit(1 << j))) for j in range(DOUBLINGS))).first()]
+        if not pairs[0]:
             return classes
-        chosen = _members(sizes, 2 * chosen, allowed)
+        power = _members(pairs, min(power + 1, DOUBLINGS - 1), allowed)
+        allowed, chosen = LATER_PAIRS * n_nodes, 1 << power
         total = live.count()
-        live = cut(join_counted(live, counts, ["i", "bucket"], "n", total), "live")
+        live = cut(join_counted(now, counts, ["i", "bucket"], "n_all", total), "live")
         if labels is None:
             labels = cut(labels_of(live.select("node").distinct()), "labels")
         full = max(FULL, chosen)
-        most = F.when(F.col("n") <= full, full).otherwise(chosen)
+        most = F.when(F.col("n_all") <= full, full).otherwise(chosen)
         rank = F.row_number().over(Window.partitionBy("i", "bucket").orderBy(F.xxhash64("node"), "node"))
-        heads = live.select("i", "bucket", "n", F.col("node").alias("head"), F.col("size").alias("head_size"), rank.alias("rank")).where(F.col("rank") <= full).where(F.col("rank") <= most)
-        heads = cut(heads.drop("n").join(cells.select(F.col("node").alias("head"), F.col("cells").alias("head_cells")), "head"), "heads")
-        # a bucket has few heads, so they come to its rows as a list
-        lists = heads.groupBy("i", "bucket").agg(F.collect_list(F.struct("head", "head_size", "head_cells")).alias("heads"))
-        lists = lists.join(counts.withColumnRenamed("n", "n_all"), ["i", "bucket"])
-        met = join_counted(live.join(cells, "node"), lists, ["i", "bucket"], "n_all", total)
+        heads = live.where(F.col("todo") & (F.col("c") != F.col("top"))).select("i", "bucket", "n_all", F.col("node").alias("head"), F.col("size").alias("head_size"), F.col("c").alias("head_c"), rank.alias("rank"))
+        heads = heads.where(F.col("rank") <= full).where(F.col("rank") <= most)
+        heads = cut(heads.drop("n_all").join(cells.select(F.col("node").alias("head"), F.col("cells").alias("head_cells")), "head"), "heads")
+        # they come to the rows of their bucket as lists of bounded length
+        block = F.floor((F.col("rank") - 1) / BLOCK)
+        lists = heads.groupBy("i", "bucket", block.alias("block")).agg(F.collect_list(F.struct("head", "head_size", "head_c", "head_cells")).alias("heads"))
+        lists = lists.drop("block").join(counts.select("i", "bucket", F.col("n_all").alias("n_lists")), ["i", "bucket"])
+        met = join_counted(live.select("i", "bucket", "node", "size", "c").join(cells, "node"), lists, ["i", "bucket"], "n_lists", total)
         need = F.lit(at_least / (1 + at_least))
+        close = lambda x: F.least("size", x.head_size) >= F.lit(at_least) * F.greatest("size", x.head_size) - F.lit(1e-6)
         fits = lambda x: _common(F.col("size"), x.head_size, F.col("cells"), x.head_cells) >= need * (x.head_size + F.col("size")) - F.lit(1e-6)
-        near = F.filter("heads", lambda x: (x.head != F.col("node")) & fits(x))
-        pairs = met.select("node", F.explode(near).alias("x")).select(F.least("node", "x.head").alias("a"), F.greatest("node", "x.head").alias("b")).distinct()
+        near = F.transform(F.filter("heads", lambda x: (x.head_c != F.col("c")) & close(x) & fits(x)), lambda x: x.head)
+        # two documents meet in many buckets, so partners are made distinct before they are listed
+        near = met.select("node", near.alias("near")).where(F.size("near") > 0).groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
+        pairs = near.select("node", F.explode("near").alias("x")).select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
         pairs = cut(pairs, "pairs")
         # each node with one partner first; pairs whose ends are then in one class need no look
         rank = F.struct(F.xxhash64("a"), "a")
@@ -298,11 +312,10 @@ def _find(nodes: DataFrame, labels_of, at_least: float) -> Classes:
         classes.link(_verified(first, labels, at_least))
         rest = classes.of(classes.of(pairs, "a", "ca"), "b", "cb").where("ca != cb").select("a", "b").join(first, ["a", "b"], "left_anti")
         classes.link(_verified(rest, labels, at_least))
-        # nodes in the class of a chosen member are settled there, and so are chosen members and buckets compared in full
-        open_ = classes.of(live.where(F.col("n") > full), "node", "c")
-        settled = classes.of(heads.select("i", "bucket", F.col("head").alias("node")), "node", "c").select("i", "bucket", "c").distinct()
-        allowed = LATER_PAIRS * n_nodes
-        live = cut(open_.join(settled, ["i", "bucket", "c"], "left_anti").select("node", "size", "i", "bucket"), "live")
+        # chosen members have met their whole bucket; they stay in it for the others to meet
+        done = heads.select("i", "bucket", F.col("head").alias("node"), F.lit(True).alias("done"))
+        live = live.select("node", "size", "i", "bucket", "todo").join(done, ["i", "bucket", "node"], "left")
+        live = cut(live.select("node", "size", "i", "bucket", (F.col("todo") & F.col("done").isNull()).alias("todo")), "live")
 
 
 def _grouped(docs: DataFrame, at_least: float) -> DataFrame:

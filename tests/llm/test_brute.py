@@ -346,6 +346,33 @@ def test_large_families_and_shared_passages(spark):
     assert got == _classes(docs)
 
 
+def _replaced(rng, base, places):
+    words = list(base)
+    for k in places:
+        words[k] = f"w{rng.randint(0, 10**9)}"
+    return words
+
+
+def _found(spark, docs):
+    return dict(order_minhash.classes(spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")).collect())
+
+
+def test_links_through_settled_members(spark):
+    """A hub whose variants are like it and not like each other, and chains whose neighbours alone are alike."""
+    rng = random.Random(11)
+    fresh = lambda n: [f"w{rng.randint(0, 10**9)}" for _ in range(n)]
+    hub = fresh(150)
+    texts = [hub] + [_replaced(rng, hub, rng.sample(range(5, 145), 3)) for _ in range(60)]
+    for _ in range(3):
+        chain = [fresh(150)]
+        for k in range(40):
+            chain.append(_replaced(rng, chain[-1], [(k * 31 + x) % 140 for x in (0, 50)]))
+        texts += chain
+    rng.shuffle(texts)
+    docs = {k: " ".join(t) for k, t in enumerate(texts)}
+    assert _found(spark, docs) == _classes(docs)
+
+
 def test_alignment_minds_order():
     a = order_minhash.Shingles([" ".join(map(str, range(60)))]).labels
     assert order_minhash.similarity(a, a, 0.8) == 1.0
