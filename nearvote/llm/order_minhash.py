@@ -12,8 +12,9 @@ have too little in common, exactly and at little cost, aren't aligned. In each r
 with a few of them, chosen by a hash among those not chosen before and not in the class that most of these belong to; each
 round chooses twice as many or more. A bucket is done when all members never chosen are in one class: then each of its
 pairs was either compared or is in one class. The budget of a round says how many rounds there are, not what is
-compared. Buckets of many documents, such as a
-passage that a third of the corpus shares, are first split by a second sketch. Texts with the same words are one node from the start.
+compared. Documents in buckets of many, such as those of a passage that a third of the corpus shares, meet in the
+buckets of their rarest labels instead: of n labels, those of which a text of 0.8 or more similarity must share at least
+one, so that no pair is lost. Texts with the same words are one node from the start.
 
 Words: A-Z as a-z, runs of ASCII letters, digits and all that isn't ASCII. Texts of one to four words are one shingle.
 Defined results: a text without words (null, empty, only signs) is alone in its class; repeated rows share a class; the class
@@ -38,7 +39,7 @@ from .common import batches_of, cut, join_counted, sealed, slim, text_column
 from .text import ALNUM, Words, chunks, mix, powers, rolling
 
 SHINGLE, SKETCHES, PICKS = 5, 12, 2
-#: Buckets of up to so many nodes are compared in one round; those of more than BIG are split by a second sketch.
+#: Buckets of up to so many nodes are compared in one round; those of more than BIG are split by rare labels.
 FULL, BIG = 16, 64
 #: Pairs for each node that a round may look at beyond the first few members of each bucket: in the first round, which
 #: settles large classes, and in later ones, when what is left has to be compared in full anyway.
@@ -255,21 +256,34 @@ def _members(pairs: list[int], least: int, allowed: int) -> int:
     return j
 
 
+def _split(big: DataFrame, labels: DataFrame, at_least: float) -> DataFrame:
+    """node, size, i, bucket: for each node of big (node, size) its rarest labels, as many as can't all be missing in a similar text.
+
+    Similar texts have at_least * n of n labels in common, so whatever the order of all labels, the first n - at_least * n + 1
+    of both share one.
+    """
+    each = cut(big.join(labels, "node").select("node", "size", F.explode("labels").alias("label")), "big-labels")
+    often = each.groupBy("label").agg(F.count("*").alias("often")).where("often > 1")
+    total = each.count()
+    ranked = join_counted(each, often, ["label"], "often", total, "left").withColumn("often", F.coalesce("often", F.lit(1)))
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("often", "label"))
+    first = F.col("size") - F.ceil(F.col("size") * F.lit(at_least) - F.lit(1e-6)) + 1
+    rare = ranked.withColumn("rank", rank).where(F.col("rank") <= first).where("often > 1")
+    return rare.select("node", "size", F.lit(SKETCHES).alias("i"), F.col("label").alias("bucket"))
+
+
 def _find(nodes: DataFrame, labels_of, at_least: float) -> Classes:
     """Classes of nodes (node, size, sketches, cells)."""
     classes = Classes(nodes.sparkSession)
     flat = cut(nodes.select("node", "size", F.posexplode("sketches").alias("i", "bucket")), "buckets")
     counts = cut(flat.groupBy("i", "bucket").agg(F.count("*").alias("n")).where("n > 1"), "counts")
     live = join_counted(flat, counts, ["i", "bucket"], "n", flat.count())
-    # what many share is split by a second sketch
-    big = live.where(F.col("n") > BIG).groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("i", "bucket"))).alias("all"))
-    steps = F.array(F.lit(1), F.lit(2))
-    second = F.flatten(F.transform("all", lambda x: F.transform(steps, lambda d: F.struct((x.i * 4 + d + 100).alias("i"), F.xxhash64(x.bucket, F.get(F.filter("all", lambda y: y.i == (x.i + d) % SKETCHES), F.lit(0)).bucket).alias("bucket"), F.exists("all", lambda y: y.i == (x.i + d) % SKETCHES).alias("has")))))
-    alone = F.transform("all", lambda x: F.struct(x.i.alias("i"), x.bucket.alias("bucket"), F.lit(True).alias("has")))
-    split = big.select("node", "size", F.inline(F.when(F.size("all") > 1, F.filter(second, lambda x: x.has)).otherwise(alone))).drop("has")
+    labels = cut(labels_of(live.select("node").distinct()), "labels")
+    # what many share is split by rare labels
+    split = _split(live.where(F.col("n") > BIG).select("node", "size").distinct(), labels, at_least)
     live = live.where(F.col("n") <= BIG).select("node", "size", "i", "bucket").unionByName(split)
     # todo: not chosen yet
-    live, power, labels = cut(live.withColumn("todo", F.lit(True)), "live"), 0, None
+    live, power = cut(live.withColumn("todo", F.lit(True)), "live"), 0
     n_nodes = nodes.count()
     cells = nodes.select("node", "cells")
     allowed = PAIRS * n_nodes
@@ -285,8 +299,6 @@ def _find(nodes: DataFrame, labels_of, at_least: float) -> Classes:
         allowed, chosen = LATER_PAIRS * n_nodes, 1 << power
         total = live.count()
         live = cut(join_counted(now, counts, ["i", "bucket"], "n_all", total), "live")
-        if labels is None:
-            labels = cut(labels_of(live.select("node").distinct()), "labels")
         full = max(FULL, chosen)
         most = F.when(F.col("n_all") <= full, full).otherwise(chosen)
         rank = F.row_number().over(Window.partitionBy("i", "bucket").orderBy(F.xxhash64("node"), "node"))

@@ -373,6 +373,28 @@ def test_links_through_settled_members(spark):
     assert _found(spark, docs) == _classes(docs)
 
 
+def test_pairs_within_a_common_passage(spark):
+    """Near-duplicates whose only common sketches lie in a passage that 200 other documents share, none within two places of another."""
+    rng = random.Random(12)
+    fresh = lambda n: [f"w{rng.randint(0, 10**9)}" for _ in range(n)]
+    passage = fresh(114)
+    texts = [" ".join(fresh(18) + passage + fresh(18)) for _ in range(200)]
+    pairs = []
+    for _ in range(6000):
+        one = fresh(18) + passage + fresh(18)
+        pairs.append((" ".join(one), " ".join(_replaced(rng, one, [3, 9, 137]))))
+    many = Counter(v for row in order_minhash.Shingles(texts).sketches().tolist() for v in row)
+    a, b = (order_minhash.Shingles(list(side)).sketches() for side in zip(*pairs, strict=True))
+    for k, pair in enumerate(pairs):
+        same = np.flatnonzero(a[k] == b[k])
+        gaps = np.diff(np.append(same, same[:1] + order_minhash.SKETCHES))
+        if len(same) and (gaps > 2).all() and all(many[int(v)] > 64 for v in a[k][same]):
+            texts += pair
+    assert len(texts) > 200
+    docs = dict(enumerate(texts))
+    assert _found(spark, docs) == _classes(docs)
+
+
 def test_alignment_minds_order():
     a = order_minhash.Shingles([" ".join(map(str, range(60)))]).labels
     assert order_minhash.similarity(a, a, 0.8) == 1.0
