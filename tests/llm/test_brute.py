@@ -373,6 +373,19 @@ def test_links_through_settled_members(spark):
     assert _found(spark, docs) == _classes(docs)
 
 
+def test_a_family_is_found_alike_in_any_table(spark):
+    """The budget of a round grows with the table and is used up by large groups; links must not depend on either."""
+    rng = random.Random(13)
+    fresh = lambda n: [f"w{rng.randint(0, 10**9)}" for _ in range(n)]
+    hub = fresh(150)
+    family = [" ".join(t) for t in [hub, *(_replaced(rng, hub, rng.sample(range(5, 145), 3)) for _ in range(50))]]
+    large, skewed = [" ".join(fresh(30)) for _ in range(3000)], list(_family(rng, fresh(150), 200, 2))
+    want = list(_classes(dict(enumerate(family))).values())
+    for others in (large, skewed):
+        got = _found(spark, dict(enumerate(family + others)))
+        assert [got[k] for k in range(len(family))] == want
+
+
 def test_pairs_within_a_common_passage(spark):
     """Near-duplicates whose only common sketches lie in a passage that 200 other documents share, none within two places of another."""
     rng = random.Random(12)
