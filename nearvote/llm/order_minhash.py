@@ -5,21 +5,27 @@ twice. A sketch takes the `PICKS` labelled shingles with the smallest hashes and
 that share one of `SKETCHES` sketches are candidates. Candidates are verified by a banded alignment of the labelled
 shingles: with M aligned shingles of two documents of n and m, the similarity is M / (n + m - M), the Jaccard
 similarity if order is kept and less if it isn't, and 0.8 or more makes a link. As labels are unique, the alignment
-is a longest increasing run of matching places, found in n log n within the band that 0.8 allows.
-
-A bucket never meets in one task, and its pairs are never all listed. Pairs whose bit maps of 1024 cells show that they
-have too little in common, exactly and at little cost, aren't aligned. In each round all members of a bucket are compared
-with a few of them, chosen by a hash among those not chosen before and not in the class that most of these belong to; each
-round chooses twice as many or more. A bucket is done when all members never chosen are in one class: then each of its
-pairs was either compared or is in one class. The budget of a round says how many rounds there are, not what is
-compared. Documents in buckets of many, such as those of a passage that a third of the corpus shares, meet in the
-buckets of their rarest labels instead: of n labels, those of which a text of 0.8 or more similarity must share at least
-one, so that no pair is lost. Texts with the same words are one node from the start.
+is a longest increasing run of matching places, found in n log n within the band that 0.8 allows. Texts with the same
+words are one node from the start.
+
+1. Every member of a bucket is aligned with one chosen member, which settles copies and most families in one pass of
+   linear size. Buckets whose members are then in one class are done.
+2. The other buckets are rehashed where they hold more than `BIG` nodes: each node goes to buckets of its smallest labels
+   under an order that puts shared labels last. A pair that can reach 0.8 must share one of the first
+   n - 2 * 0.8 n / 1.8 + 1 labels of its shorter text and the first m - 0.8 m + 1 of its longer one, in any order, so no
+   pair of the bucket is lost; and the labels of a passage that many share are left out of it, unless texts hardly
+   have any others.
+3. All pairs from different classes that meet in these small buckets are tried against three exact bounds (sizes, labels
+   that come after the shared one, bit maps of 1024 cells), vectorised over blocks of at most `BLOCK` nodes. Pairs of blocks, not buckets,
+   are what a task gets, so that a bucket of any size needs no more memory. Only pairs within the bounds become rows; they
+   are aligned if they are still in different classes after each node was aligned with one partner.
+
+So every pair that shares a sketch is aligned, ruled out by a bound, or in one class already, however large its bucket.
 
 Words: A-Z as a-z, runs of ASCII letters, digits and all that isn't ASCII. Texts of one to four words are one shingle.
 Defined results: a text without words (null, empty, only signs) is alone in its class; repeated rows share a class; the class
-id is the smallest identifier in the class, null only if all are null; an empty table gives an empty table; other columns
-are not looked at by `classes` and kept by `deduplicate`.
+id is the smallest identifier in the class, null only if all are null; of rows with the smallest identifier and different texts
+`deduplicate` keeps one; an empty table gives an empty table; other columns are not looked at by `classes` and kept by `deduplicate`.
 """
 
 from __future__ import annotations
@@ -33,23 +39,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import batches_of, cut, join_counted, sealed, slim, text_column
 from .text import ALNUM, Words, chunks, mix, powers, rolling
 
 SHINGLE, SKETCHES, PICKS = 5, 12, 2
-#: Buckets of up to so many nodes are compared in one round; those of more than BIG are split by rare labels.
-FULL, BIG = 16, 64
-#: Pairs for each node that a round may look at beyond the first few members of each bucket: in the first round, which
-#: settles large classes, and in later ones, when what is left has to be compared in full anyway.
-PAIRS, LATER_PAIRS = 4, 16
-#: Chosen members of a bucket that come to its rows in one list, and how often the number of chosen ones may double.
-BLOCK, DOUBLINGS = 64, 40
+#: Chosen members: so many different ones over the sketches.
+HEADS = 3
+#: Buckets of more nodes are rehashed by their rarer labels.
+BIG = 64
+#: Nodes of a block; a task compares two blocks at a time.
+BLOCK = 256
 #: Bits of a document's cells, as 64-bit words.
 CELLS = 16
+#: Cells in which labels of rehashed nodes are counted, as a power of two: 8 MB. The counts only order labels; any order is exact.
+COUNT_BITS, COUNT_BLOCK = 21, 15
 #: Rows of a batch with two whole documents each.
-PAIR_ROWS = 500
+PAIR_ROWS = 200
 _ODD = np.random.default_rng(8).integers(0, 1 << 63, (2, SKETCHES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASES = (0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 _LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -158,7 +164,7 @@ def similarity(a: np.ndarray, b: np.ndarray, at_least: float) -> float:
 
 
 def _sketched(docs: DataFrame) -> DataFrame:
-    """doc_id, th, node, size, sketches, cells of docs (doc_id, th, text)."""
+    """doc_id, th, node, size, sketches of docs (doc_id, th, text)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,15 +175,14 @@ def _sketched(docs: DataFrame) -> DataFrame:
                 values = pa.array(s.sketches().ravel().view(np.int64))
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), values)
                 part = batch.slice(a, b - a)
-                cells = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * CELLS, pa.int32()), pa.array(s.cells().ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(s.names(), pa.binary()), pa.array(s.counts, pa.int32()), lists, cells], ["doc_id", "th", "node", "size", "sketches", "cells"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(s.names(), pa.binary()), pa.array(s.counts, pa.int32()), lists], ["doc_id", "th", "node", "size", "sketches"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(work, f"doc_id {kind}, th bigint, node binary, size int, sketches array<bigint>, cells array<bigint>")
+    return docs.mapInArrow(work, f"doc_id {kind}, th bigint, node binary, size int, sketches array<bigint>")
 
 
 def _labelled(docs: DataFrame) -> DataFrame:
-    """node, labels of docs (node, text)."""
+    """id, size, labels, cells of docs (id, text)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,14 +190,32 @@ def _labelled(docs: DataFrame) -> DataFrame:
             for a, b in chunks(texts):
                 s = Shingles(texts[a:b])
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(s.counts)), pa.int32()), pa.array(s.labels.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], ["node", "labels"])
+                cells = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * CELLS, pa.int32()), pa.array(s.cells().ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(s.counts, pa.int32()), lists, cells], ["id", "size", "labels", "cells"])
+
+    return docs.mapInArrow(work, "id bigint, size int, labels array<bigint>, cells array<bigint>")
+
 
-    return docs.mapInArrow(work, "node binary, labels array<bigint>")
+def _common(n: Column, m: Column, a: Column, b: Column) -> Column:
+    """The most labels that texts of n and m labels with cells a and b can have in common: every cell of one alone costs it a label."""
+    alone = lambda x, y: reduce(add, [F.bit_count(F.get(x, F.lit(k)).bitwiseAND(F.bitwise_not(F.get(y, F.lit(k))))) for k in range(CELLS)])
+    return F.least(n - alone(a, b), m - alone(b, a))
+
+
+def _fitting(pairs: DataFrame, labels: DataFrame, at_least: float) -> DataFrame:
+    """The pairs (a, b) that sizes and cells don't rule out."""
+    side = lambda x: labels.select(F.col("id").alias(x), F.col("size").alias(f"n{x}"), F.col("cells").alias(f"c{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    near = F.least("na", "nb") >= F.lit(at_least) * F.greatest("na", "nb") - F.lit(1e-6)
+    need = F.lit(at_least / (1 + at_least)) * (F.col("na") + F.col("nb")) - F.lit(1e-6)
+    return both.where(near & (_common(F.col("na"), F.col("nb"), F.col("ca"), F.col("cb")) >= need)).select("a", "b")
 
 
 def _verified(pairs: DataFrame, labels: DataFrame, at_least: float) -> DataFrame:
     """The pairs (a, b) whose alignment reaches at_least."""
-    both = pairs.join(labels.select(F.col("node").alias("a"), F.col("labels").alias("la")), "a").join(labels.select(F.col("node").alias("b"), F.col("labels").alias("lb")), "b").select("a", "b", "la", "lb")
+    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    known = labels.select("id", "labels").join(wanted, "id", "left_semi")
+    both = pairs.join(known.toDF("a", "la"), "a").join(known.toDF("b", "lb"), "b").select("a", "b", "la", "lb")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,7 +223,7 @@ def _verified(pairs: DataFrame, labels: DataFrame, at_least: float) -> DataFrame
             keep = [similarity(la[i].values.to_numpy(), lb[i].values.to_numpy(), at_least) >= at_least for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
 
-    return both.mapInArrow(align, "a binary, b binary")
+    return both.mapInArrow(align, "a bigint, b bigint")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -221,147 +244,217 @@ class Classes:
     """The classes found so far: node, comp for the nodes that have links."""
 
     def __init__(self, spark):
-        self.table = spark.createDataFrame([], "node binary, comp binary")
+        self.spark, self.table = spark, None
 
     def of(self, rows: DataFrame, node: str, name: str) -> DataFrame:
+        if self.table is None:
+            return rows.withColumn(name, F.col(node))
         found = self.table.select(F.col("node").alias(node), F.col("comp").alias("__c"))
         return rows.join(found, node, "left").withColumn(name, F.coalesce("__c", node)).drop("__c")
 
     def link(self, pairs: DataFrame) -> None:
         ends = self.of(self.of(pairs, "a", "ca"), "b", "cb")
-        with batches_of(pairs.sparkSession, PAIR_ROWS):
+        with batches_of(self.spark, PAIR_ROWS):
             links = cut(ends.select("ca", "cb", "a", "b"), "links")
         if links.isEmpty():
             return
         joined = components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-        nodes = self.table.unionByName(links.select(F.col("a").alias("node"), F.col("ca").alias("comp"))).unionByName(links.select(F.col("b").alias("node"), F.col("cb").alias("comp"))).distinct()
+        nodes = links.select(F.col("a").alias("node"), F.col("ca").alias("comp")).unionByName(links.select(F.col("b").alias("node"), F.col("cb").alias("comp")))
+        nodes = (nodes if self.table is None else nodes.unionByName(self.table)).distinct()
         moved = nodes.join(joined.select(F.col("node").alias("comp"), F.col("comp").alias("now")), "comp", "left")
         self.table = cut(moved.select("node", F.coalesce("now", "comp").alias("comp")), "classes")
 
 
-def _common(n: Column, m: Column, a: Column, b: Column) -> Column:
-    """The most labels that texts of n and m labels with cells a and b can have in common: every cell of one alone costs it a label."""
-    alone = lambda x, y: reduce(add, [F.bit_count(F.get(x, F.lit(k)).bitwiseAND(F.bitwise_not(F.get(y, F.lit(k))))) for k in range(CELLS)])
-    return F.least(n - alone(a, b), m - alone(b, a))
+def _counts(labels: DataFrame) -> np.ndarray:
+    """In how many rows labels of each cell come: one pass, counts added up cell block by cell block."""
+    size = 1 << COUNT_BLOCK
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << COUNT_BITS, np.int64)
+        for batch in batches:
+            values = batch.column(0).flatten().to_numpy().view(np.uint64)
+            np.add.at(total, (values >> np.uint64(64 - COUNT_BITS)).astype(np.int64), 1)
+        for block in range(len(total) // size):
+            part = total[block * size : (block + 1) * size]
+            some = np.flatnonzero(part)
+            if len(some):
+                yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "cells": pa.array([some.astype("<u2").tobytes()], pa.binary()), "n": pa.array([part[some].astype("<i8").tobytes()], pa.binary())})
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for r in batch.to_pylist():
+                total = totals.setdefault(r["block"], np.zeros(size, np.int64))
+                total[np.frombuffer(r["cells"], "<u2")] += np.frombuffer(r["n"], "<i8")
+        for block, total in totals.items():
+            yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "n": pa.array([np.minimum(total, 0xFFFFFFFF).astype("<u4").tobytes()], pa.binary())})
 
-def _members(pairs: list[int], least: int, allowed: int) -> int:
-    """The power of two j for how many members of each bucket to choose: as many as make `allowed` pairs, `least` in any case.
+    out = np.zeros(1 << COUNT_BITS, np.uint32)
+    merged = labels.select("labels").mapInArrow(count, "block int, cells binary, n binary").repartition("block").mapInArrow(add_up, "block int, n binary")
+    for r in merged.collect():  # a fixed number of cells
+        out[r["block"] * size : (r["block"] + 1) * size] = np.frombuffer(r["n"], "<u4")
+    return out
 
-    pairs: how many pairs 2 ** j chosen members of each bucket make.
+
+def _rehashed(labels: DataFrame, at_least: float) -> DataFrame:
+    """bucket, id, size, place, short, cells: each node's labels that a similar text can't all lack, rarest first.
+
+    Similar texts of n <= m labels have at_least / (1 + at_least) * (n + m) in common, so whatever the order of all labels, one is among
+    the first n - 2 * at_least / (1 + at_least) * n + 1 of the shorter text (short) and the first m - at_least * m + 1 of the longer.
     """
-    j = least
-    while j + 1 < len(pairs) and pairs[j] < pairs[j + 1] <= allowed:
-        j += 1
-    return j
+    sent = labels.sparkSession.sparkContext.broadcast(_counts(labels))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, cells = batch.column(1).to_numpy(), batch.column(3)
+            lists = batch.column(2)
+            for begin in range(0, batch.num_rows, 64):
+                bucket, row, place, short = [], [], [], []
+                for i in range(begin, min(begin + 64, batch.num_rows)):
+                    own, n = lists[i].values.to_numpy(), int(sizes[i])
+                    often = sent.value[(own.view(np.uint64) >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]
+                    first = np.lexsort((own, often))[: n - int(np.ceil(at_least * n - 1e-6)) + 1]
+                    at = np.flatnonzero(often[first] > 1)  # what no other node has finds no partner
+                    bucket.append(own[first[at]])
+                    place.append(at)
+                    short.append(at <= n - int(np.ceil(2 * at_least / (1 + at_least) * n - 1e-6)))
+                    row.append(np.full(len(at), i))
+                rows = pa.array(np.concatenate(row), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(bucket)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.concatenate(place), pa.int32()), pa.array(np.concatenate(short)), cells.take(rows)], ["bucket", "id", "size", "place", "short", "cells"])
+
+    return labels.select("id", "size", "labels", "cells").mapInArrow(work, "bucket bigint, id bigint, size int, place int, short boolean, cells array<bigint>")
+
+
+def _met(rows: DataFrame, at_least: float) -> DataFrame:
+    """a, b: pairs of different classes in a bucket that no bound rules out; rows: bucket, n (nodes in it), id, size, c, place, short, cells."""
+    blocks = F.ceil(F.col("n") / BLOCK)
+    block = F.pmod(F.xxhash64("id", F.lit(1)), blocks)
+    dealt = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    unit = F.when(F.col("n") <= BLOCK, F.col("bucket")).otherwise(F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other")))
+    # in the unit of two blocks those of one block have met elsewhere
+    dealt = dealt.select(unit.alias("unit"), F.when(F.col("block") == F.col("other"), -1).otherwise(F.col("block")).cast("long").alias("block"), "id", "size", "c", "place", "short", "cells")
+    share = at_least / (1 + at_least)
+
+    def compare(unit, block, node, size, c, place, short, cells) -> np.ndarray:
+        last = np.append(np.flatnonzero(unit[1:] != unit[:-1]), len(unit) - 1)
+        end = last[np.searchsorted(last, np.arange(len(unit)))]
+        out, x, d = [], np.arange(len(unit)), 0
+        while True:
+            d += 1
+            x = x[x + d <= end[x]]
+            if not len(x):
+                break
+            a, b = x, x + d
+            keep = (c[a] != c[b]) & ((block[a] != block[b]) | (block[a] < 0))
+            a, b = a[keep], b[keep]
+            need = share * (size[a] + size[b]) - 1e-6
+            keep = np.minimum(size[a], size[b]) >= at_least * np.maximum(size[a], size[b]) - 1e-6
+            keep &= np.where(size[a] < size[b], short[a], np.where(size[b] < size[a], short[b], short[a] | short[b]))
+            keep &= np.minimum(size[a] - place[a], size[b] - place[b]) >= need
+            a, b, need = a[keep], b[keep], need[keep]
+            if len(a):
+                alone = lambda s, t: np.bitwise_count(cells[s] & ~cells[t]).sum(1, dtype=np.int64)
+                keep = np.minimum(size[a] - alone(a, b), size[b] - alone(b, a)) >= need
+                out.append(np.stack([np.minimum(node[a], node[b]), np.maximum(node[a], node[b])])[:, keep])
+        return np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
 
-def _split(big: DataFrame, labels: DataFrame, at_least: float) -> DataFrame:
-    """node, size, i, bucket: for each node of big (node, size) its rarest labels, as many as can't all be missing in a similar text.
+        def done(n: int) -> pa.RecordBatch:
+            a, b = compare(*(x[:n] for x in held))
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    Similar texts have at_least * n of n labels in common, so whatever the order of all labels, the first n - at_least * n + 1
-    of both share one.
-    """
-    each = cut(big.join(labels, "node").select("node", "size", F.explode("labels").alias("label")), "big-labels")
-    often = each.groupBy("label").agg(F.count("*").alias("often")).where("often > 1")
-    total = each.count()
-    ranked = join_counted(each, often, ["label"], "often", total, "left").withColumn("often", F.coalesce("often", F.lit(1)))
-    rank = F.row_number().over(Window.partitionBy("node").orderBy("often", "label"))
-    first = F.col("size") - F.ceil(F.col("size") * F.lit(at_least) - F.lit(1e-6)) + 1
-    rare = ranked.withColumn("rank", rank).where(F.col("rank") <= first).where("often > 1")
-    return rare.select("node", "size", F.lit(SKETCHES).alias("i"), F.col("label").alias("bucket"))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(7)]
+            new.append(batch.column(7).flatten().to_numpy().view(np.uint64).reshape(-1, CELLS))
+            held = [np.concatenate(x) for x in zip(held, new, strict=True)] if held else new
+            n = int(np.searchsorted(-(held[0] != held[0][-1]).astype(int), 0))  # the last unit may go on in the next batch
+            if n:
+                yield done(n)
+                held = [x[n:] for x in held]
+        if held:
+            yield done(len(held[0]))
+
+    return dealt.repartition("unit").sortWithinPartitions("unit").mapInArrow(work, "a bigint, b bigint")
 
 
 def _find(nodes: DataFrame, labels_of, at_least: float) -> Classes:
-    """Classes of nodes (node, size, sketches, cells)."""
+    """Classes of nodes (id, size, sketches)."""
     classes = Classes(nodes.sparkSession)
-    flat = cut(nodes.select("node", "size", F.posexplode("sketches").alias("i", "bucket")), "buckets")
-    counts = cut(flat.groupBy("i", "bucket").agg(F.count("*").alias("n")).where("n > 1"), "counts")
-    live = join_counted(flat, counts, ["i", "bucket"], "n", flat.count())
-    labels = cut(labels_of(live.select("node").distinct()), "labels")
-    # what many share is split by rare labels
-    split = _split(live.where(F.col("n") > BIG).select("node", "size").distinct(), labels, at_least)
-    live = live.where(F.col("n") <= BIG).select("node", "size", "i", "bucket").unionByName(split)
-    # todo: not chosen yet
-    live, power = cut(live.withColumn("todo", F.lit(True)), "live"), 0
-    n_nodes = nodes.count()
-    cells = nodes.select("node", "cells")
-    allowed = PAIRS * n_nodes
-    while True:
-        now = classes.of(live, "node", "c")
-        todo = now.groupBy("i", "bucket", "c").agg(F.count("*").alias("n_all"), F.count_if("todo").alias("n"))
-        counts = todo.groupBy("i", "bucket").agg(F.sum("n_all").alias("n_all"), F.sum("n").alias("n"), F.max(F.struct("n", "c")).alias("top"))
-        counts = cut(counts.select("i", "bucket", "n_all", (F.col("n") - F.col("top.n")).alias("left"), F.col("top.c").alias("top")).where("left > 0"), "counts")
-        pairs = [r or 0 for r in counts.agg(*(F.sum(F.col("n_all") * F.least("left", F.lit(1 << j))) for j in range(DOUBLINGS))).first()]
-        if not pairs[0]:
-            return classes
-        power = _members(pairs, min(power + 1, DOUBLINGS - 1), allowed)
-        allowed, chosen = LATER_PAIRS * n_nodes, 1 << power
-        total = live.count()
-        live = cut(join_counted(now, counts, ["i", "bucket"], "n_all", total), "live")
-        full = max(FULL, chosen)
-        most = F.when(F.col("n_all") <= full, full).otherwise(chosen)
-        rank = F.row_number().over(Window.partitionBy("i", "bucket").orderBy(F.xxhash64("node"), "node"))
-        heads = live.where(F.col("todo") & (F.col("c") != F.col("top"))).select("i", "bucket", "n_all", F.col("node").alias("head"), F.col("size").alias("head_size"), F.col("c").alias("head_c"), rank.alias("rank"))
-        heads = heads.where(F.col("rank") <= full).where(F.col("rank") <= most)
-        heads = cut(heads.drop("n_all").join(cells.select(F.col("node").alias("head"), F.col("cells").alias("head_cells")), "head"), "heads")
-        # they come to the rows of their bucket as lists of bounded length
-        block = F.floor((F.col("rank") - 1) / BLOCK)
-        lists = heads.groupBy("i", "bucket", block.alias("block")).agg(F.collect_list(F.struct("head", "head_size", "head_c", "head_cells")).alias("heads"))
-        lists = lists.drop("block").join(counts.select("i", "bucket", F.col("n_all").alias("n_lists")), ["i", "bucket"])
-        met = join_counted(live.select("i", "bucket", "node", "size", "c").join(cells, "node"), lists, ["i", "bucket"], "n_lists", total)
-        need = F.lit(at_least / (1 + at_least))
-        close = lambda x: F.least("size", x.head_size) >= F.lit(at_least) * F.greatest("size", x.head_size) - F.lit(1e-6)
-        fits = lambda x: _common(F.col("size"), x.head_size, F.col("cells"), x.head_cells) >= need * (x.head_size + F.col("size")) - F.lit(1e-6)
-        near = F.transform(F.filter("heads", lambda x: (x.head_c != F.col("c")) & close(x) & fits(x)), lambda x: x.head)
-        # two documents meet in many buckets, so partners are made distinct before they are listed
-        near = met.select("node", near.alias("near")).where(F.size("near") > 0).groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-        pairs = near.select("node", F.explode("near").alias("x")).select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
-        pairs = cut(pairs, "pairs")
-        # each node with one partner first; pairs whose ends are then in one class need no look
-        rank = F.struct(F.xxhash64("a"), "a")
-        first = pairs.groupBy("b").agg(F.min(F.struct(rank.alias("r"), "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
-        classes.link(_verified(first, labels, at_least))
-        rest = classes.of(classes.of(pairs, "a", "ca"), "b", "cb").where("ca != cb").select("a", "b").join(first, ["a", "b"], "left_anti")
-        classes.link(_verified(rest, labels, at_least))
-        # chosen members have met their whole bucket; they stay in it for the others to meet
-        done = heads.select("i", "bucket", F.col("head").alias("node"), F.lit(True).alias("done"))
-        live = live.select("node", "size", "i", "bucket", "todo").join(done, ["i", "bucket", "node"], "left")
-        live = cut(live.select("node", "size", "i", "bucket", (F.col("todo") & F.col("done").isNull()).alias("todo")), "live")
+    total = SKETCHES * nodes.count()
+    flat = nodes.select("id", F.posexplode("sketches").alias("i", "bucket"))
+    head = F.min(F.struct(F.xxhash64("id", F.col("i") % HEADS).alias("h"), "id"))["id"]
+    counts = cut(flat.groupBy("bucket").agg(F.count("*").alias("n"), head.alias("head")).where("n > 1"), "counts")
+    live = cut(join_counted(flat.drop("i"), counts, ["bucket"], "n", total), "live")
+    labels = cut(labels_of(live.select("id").distinct()), "labels")
+    # every bucket's chosen member settles what is like it
+    star = cut(_fitting(live.where("id != head").select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct(), labels, at_least), "star")
+    classes.link(_verified(star, labels, at_least))
+    # buckets with members of different classes; of two members both have met
+    now = classes.of(live.where("n > 2").select("bucket", "id"), "id", "c")
+    several = F.col("low") != F.col("high")
+    several_in = lambda rows, *more: rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high"), *more).where(several).drop("low", "high")
+    left = cut(join_counted(now, several_in(now), ["bucket"], "n", total), "left")
+    small = left.where(F.col("n") <= BIG).join(labels.select("id", "size", "cells"), "id").withColumns({"place": F.lit(0), "short": F.lit(True)})
+    big = labels.join(left.where(F.col("n") > BIG).select("id").distinct(), "id", "left_semi")
+    rare = classes.of(cut(_rehashed(cut(big, "big"), at_least), "rare"), "id", "c")
+    rare = join_counted(rare, several_in(rare, F.count_if("short").alias("n_short")).where("n_short > 0").drop("n_short"), ["bucket"], "n", total)
+    columns = ["bucket", "n", "id", "size", "c", "place", "short", "cells"]
+    pairs = _met(small.select(columns).unionByName(rare.select(columns)), at_least).distinct()
+    pairs = cut(pairs.join(star, ["a", "b"], "left_anti"), "pairs")
+    # each node with one partner first; pairs whose ends are then in one class need no look
+    rank = F.struct(F.xxhash64("a"), "a")
+    first = cut(pairs.groupBy("b").agg(F.min(F.struct(rank.alias("r"), "a")).alias("x")).select(F.col("x.a").alias("a"), "b"), "first")
+    classes.link(_verified(first, labels, at_least))
+    rest = classes.of(classes.of(pairs, "a", "ca"), "b", "cb").where("ca != cb").select("a", "b").join(first, ["a", "b"], "left_anti")
+    classes.link(_verified(cut(rest, "rest"), labels, at_least))
+    return classes
 
 
 def _grouped(docs: DataFrame, at_least: float) -> DataFrame:
-    """doc_id, th, class_id for each row of docs (doc_id, th, text)."""
+    """doc_id, th, class_id, class_size, stays (of each class one text's rows) for each row of docs (doc_id, th, text)."""
     rows = cut(_sketched(docs), "sketches")
-    nodes = cut(rows.where("size > 0").groupBy("node").agg(F.first("size").alias("size"), F.first("sketches").alias("sketches"), F.first("cells").alias("cells"), F.min(F.struct("doc_id", "th")).alias("one"), F.count("*").alias("n")), "nodes")
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th"))
+    own = rows.where("size > 0").groupBy("node").agg(F.first("size").alias("size"), F.first("sketches").alias("sketches"), one.alias("one"), F.count("*").alias("n"))
+    nodes = cut(own.withColumn("id", F.monotonically_increasing_id()), "nodes")
 
     def labels_of(wanted: DataFrame) -> DataFrame:
-        which = wanted.join(nodes.select("node", "one"), "node").select("node", F.col("one.doc_id").alias("__id"), F.col("one.th").alias("__th"))
-        texts = docs.join(which, docs["doc_id"].eqNullSafe(which["__id"]) & (docs["th"] == which["__th"])).select("node", "text")
-        return _labelled(texts).dropDuplicates(["node"])
-
-    classes = _find(nodes, labels_of, at_least)
-    # first each node's own documents, then its class
-    own = rows.groupBy("node", F.when(F.col("size") == 0, F.struct("doc_id", "th")).alias("alone")).agg(F.min("doc_id").alias("low"), F.count("*").alias("n"))
-    comps = cut(classes.of(own, "node", "comp"), "own")
-    ids = comps.groupBy("comp", "alone").agg(F.min("low").alias("class_id"), F.count("*").alias("n_nodes"))
-    named = cut(comps.where("alone is null").join(ids.where("alone is null").drop("alone"), "comp").select("node", "n", "class_id"), "named")
+        which = wanted.join(nodes.select("id", "one"), "id").select("id", F.col("one.doc_id").alias("__id"), F.col("one.th").alias("__th"))
+        texts = docs.join(which, docs["doc_id"].eqNullSafe(which["__id"]) & (docs["th"] == which["__th"])).select("id", "text")
+        return _labelled(texts.dropDuplicates(["id"]))
+
+    classes = _find(nodes.select("id", "size", "sketches"), labels_of, at_least)
+    comps = cut(classes.of(nodes.select("id", "node", "one", "n"), "id", "comp"), "own")
+    ids = comps.groupBy("comp").agg(F.min("one").alias("least"), F.sum("n").alias("class_size"), F.count("*").alias("n_nodes"))
+    named = cut(join_counted(comps.drop("one"), ids, ["comp"], "n_nodes", nodes.count()).select("node", "n", "least", "class_size"), "named")
     wordy = join_counted(rows.where("size > 0").select("doc_id", "th", "node"), named, ["node"], "n", rows.count())
-    return wordy.select("doc_id", "th", "class_id").unionByName(rows.where("size = 0").select("doc_id", "th", F.col("doc_id").alias("class_id")))
+    stays = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("th") == F.col("least.th"))
+    alone = rows.where("size = 0").select("doc_id", "th", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("stays"))
+    return wordy.select("doc_id", "th", F.col("least.doc_id").alias("class_id"), "class_size", stays.alias("stays")).unionByName(alone)
+
+
+def _hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = text_column(text_col)
+    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+
+
+def report(docs: DataFrame, at_least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, class_id, class_size (rows of the class): a row for each row of docs."""
+    return _grouped(_hashed(slim(docs, id_col, text_col), "doc_id", "text"), at_least).select("doc_id", "class_id", "class_size")
 
 
 def classes(docs: DataFrame, at_least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, class_id: a row for each row of docs."""
-    text = text_column()
-    return _grouped(slim(docs, id_col, text_col).select("doc_id", F.xxhash64(text).alias("th"), text.alias("text")), at_least).select("doc_id", "class_id")
+    return report(docs, at_least, id_col, text_col).drop("class_size")
 
 
 def deduplicate(docs: DataFrame, at_least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs with the smallest identifier of each class, with the columns of docs."""
+    """One row of docs for each class, that with the smallest identifier, with the columns of docs."""
     id_col, text_col = (f"col{docs.columns.index(c)}" for c in (id_col, text_col))
     docs, names = sealed(docs)
-    text = text_column(text_col)
-    found = _grouped(docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")), at_least)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th2"))
-    keyed = docs.withColumn("__th", F.xxhash64(text))
+    stay = _grouped(_hashed(docs, id_col, text_col), at_least).where("stays").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th2"))
+    keyed = docs.withColumn("__th", F.xxhash64(text_column(text_col)))
     return keyed.join(stay, keyed[id_col].eqNullSafe(stay["__id"]) & (F.col("__th") == F.col("__th2")), "left_semi").dropDuplicates(["__th", id_col]).select(docs.columns).toDF(*names)

@@ -49,7 +49,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return order_minhash.classes(table(spark, sf_dir, "documents"))
+    return order_minhash.report(table(spark, sf_dir, "documents"))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
