@@ -54,8 +54,8 @@ BLOCK = 256
 CELLS = 16
 #: Cells in which labels of rehashed nodes are counted, as a power of two: 8 MB. The counts only order labels; any order is exact.
 COUNT_BITS, COUNT_BLOCK = 21, 15
-#: Rows of a batch with two whole documents each.
-PAIR_ROWS = 200
+#: Rows of a batch with one whole document each, with two, and with the bit maps of one.
+TEXT_ROWS, PAIR_ROWS, CELL_ROWS = 1000, 200, 4000
 _ODD = np.random.default_rng(8).integers(0, 1 << 63, (2, SKETCHES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASES = (0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 _LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -356,14 +356,16 @@ def _met(rows: DataFrame, at_least: float) -> DataFrame:
                 alone = lambda s, t: np.bitwise_count(cells[s] & ~cells[t]).sum(1, dtype=np.int64)
                 keep = np.minimum(size[a] - alone(a, b), size[b] - alone(b, a)) >= need
                 out.append(np.stack([np.minimum(node[a], node[b]), np.maximum(node[a], node[b])])[:, keep])
-        return np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
+        return np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
-        def done(n: int) -> pa.RecordBatch:
-            a, b = compare(*(x[:n] for x in held))
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        def done(n: int) -> Iterator[pa.RecordBatch]:
+            found = compare(*(x[:n] for x in held))
+            for begin in range(0, found.shape[1], 1 << 16):
+                a, b = found[:, begin : begin + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -373,10 +375,10 @@ def _met(rows: DataFrame, at_least: float) -> DataFrame:
             held = [np.concatenate(x) for x in zip(held, new, strict=True)] if held else new
             n = int(np.searchsorted(-(held[0] != held[0][-1]).astype(int), 0))  # the last unit may go on in the next batch
             if n:
-                yield done(n)
+                yield from done(n)
                 held = [x[n:] for x in held]
         if held:
-            yield done(len(held[0]))
+            yield from done(len(held[0]))
 
     return dealt.repartition("unit").sortWithinPartitions("unit").mapInArrow(work, "a bigint, b bigint")
 
@@ -389,7 +391,8 @@ def _find(nodes: DataFrame, labels_of, at_least: float) -> Classes:
     head = F.min(F.struct(F.xxhash64("id", F.col("i") % HEADS).alias("h"), "id"))["id"]
     counts = cut(flat.groupBy("bucket").agg(F.count("*").alias("n"), head.alias("head")).where("n > 1"), "counts")
     live = cut(join_counted(flat.drop("i"), counts, ["bucket"], "n", total), "live")
-    labels = cut(labels_of(live.select("id").distinct()), "labels")
+    with batches_of(nodes.sparkSession, TEXT_ROWS):
+        labels = cut(labels_of(live.select("id").distinct()), "labels")
     # every bucket's chosen member settles what is like it
     star = cut(_fitting(live.where("id != head").select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct(), labels, at_least), "star")
     classes.link(_verified(star, labels, at_least))
@@ -400,11 +403,13 @@ def _find(nodes: DataFrame, labels_of, at_least: float) -> Classes:
     left = cut(join_counted(now, several_in(now), ["bucket"], "n", total), "left")
     small = left.where(F.col("n") <= BIG).join(labels.select("id", "size", "cells"), "id").withColumns({"place": F.lit(0), "short": F.lit(True)})
     big = labels.join(left.where(F.col("n") > BIG).select("id").distinct(), "id", "left_semi")
-    rare = classes.of(cut(_rehashed(cut(big, "big"), at_least), "rare"), "id", "c")
+    with batches_of(nodes.sparkSession, TEXT_ROWS):
+        rare = classes.of(cut(_rehashed(cut(big, "big"), at_least), "rare"), "id", "c")
     rare = join_counted(rare, several_in(rare, F.count_if("short").alias("n_short")).where("n_short > 0").drop("n_short"), ["bucket"], "n", total)
     columns = ["bucket", "n", "id", "size", "c", "place", "short", "cells"]
     pairs = _met(small.select(columns).unionByName(rare.select(columns)), at_least).distinct()
-    pairs = cut(pairs.join(star, ["a", "b"], "left_anti"), "pairs")
+    with batches_of(nodes.sparkSession, CELL_ROWS):
+        pairs = cut(pairs.join(star, ["a", "b"], "left_anti"), "pairs")
     # each node with one partner first; pairs whose ends are then in one class need no look
     rank = F.struct(F.xxhash64("a"), "a")
     first = cut(pairs.groupBy("b").agg(F.min(F.struct(rank.alias("r"), "a")).alias("x")).select(F.col("x.a").alias("a"), "b"), "first")
@@ -416,7 +421,8 @@ def _find(nodes: DataFrame, labels_of, at_least: float) -> Classes:
 
 def _grouped(docs: DataFrame, at_least: float) -> DataFrame:
     """doc_id, th, class_id, class_size, stays (of each class one text's rows) for each row of docs (doc_id, th, text)."""
-    rows = cut(_sketched(docs), "sketches")
+    with batches_of(docs.sparkSession, TEXT_ROWS):
+        rows = cut(_sketched(docs), "sketches")
     one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th"))
     own = rows.where("size > 0").groupBy("node").agg(F.first("size").alias("size"), F.first("sketches").alias("sketches"), one.alias("one"), F.count("*").alias("n"))
     nodes = cut(own.withColumn("id", F.monotonically_increasing_id()), "nodes")
