@@ -8,7 +8,8 @@ overlap by half and all are scored; a text is as toxic as its worst window.
 Training: texts have labels, windows don't, so in every epoch each text's worst window is taken for it, and for
 harmless texts another one besides. Embeddings start from how surely words and grams speak for toxic training texts; all
 weights then learn by Adam, embeddings slowly, lest they learn single texts by heart. At most `MOST_ROWS` labelled rows are used, those with the smallest hash of
-the identifier.
+the identifier, and of these, in order of identifiers, the ones whose texts fit into `MOST_BYTES` together: a longer text is left out whole. Training is one
+task of an executor; only the weights come to the driver.
 
 Defined results: a null or empty text or one without words scores like the least toxic text; repeated rows get equal
 scores; rows with a null identifier are scored and never learned from; labels are the largest for an identifier; without
@@ -18,6 +19,7 @@ columns are not looked at by `scored` and kept by `remove_toxic`.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,11 +28,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slim
+from .common import batches_of, slim
 from .quality import labelled
 from .text import ALNUM, CHUNK_BYTES, Words, chunks, mix, powers
 
-MOST_ROWS = 5_000
+MOST_ROWS, MOST_BYTES = 5_000, 24 << 20
 WINDOW, STRIDE = 32, 16
 BITS, WIDTH, HIDDEN, GRAM = 17, 4, 8, 5
 EPOCHS, BATCH, RATE, TABLE_RATE = 4, 256, 0.01, 0.1
@@ -92,6 +94,13 @@ class Network:
         self.shift = 0.0
         self.scale = 1.0
 
+    @classmethod
+    def constantly(cls, share: float) -> Network:
+        """Gives all texts one score."""
+        net = cls(*(np.zeros((1, WIDTH), np.float32) for _ in range(2)), prior=0.0)
+        net.constant = share
+        return net
+
     def inputs(self, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
         """A row for each different word and one of zeros; the gram that gave each pooled value."""
         p, v = self.p, vocabulary
@@ -281,10 +290,27 @@ def _adam(net: Network, moments: dict, gradients: dict, step: int) -> None:
         net.p[name][rows] -= rate * (m[rows] / (1 - 0.9**step)) / (np.sqrt(v[rows] / (1 - 0.999**step)) + 1e-6)
 
 
-def fit(docs: DataFrame, labels: DataFrame, allowed: Column, label: str = "toxic", most: int = MOST_ROWS) -> Network:
-    found = labelled(docs, labels, label, allowed, most).toPandas()
-    found = found.sort_values(["doc_id", "text"]).drop_duplicates("doc_id")[:most]
-    return train(found["text"].tolist(), (found["y"].to_numpy() > 0).astype(int))
+def fit(docs: DataFrame, labels: DataFrame, allowed: Column, label: str = "toxic", most: int = MOST_ROWS, most_bytes: int = MOST_BYTES) -> Network:
+    """A network learned from the labelled rows that `allowed` lets in: at most `most` of them, with texts of `most_bytes` in all."""
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, y, room, last = [], [], most_bytes, None
+        for batch in batches:
+            for name, text, toxic in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                size = len((text or "").encode("utf-8", "surrogatepass"))
+                if len(texts) < most and name != last and size <= room:
+                    texts.append(text)
+                    y.append(int(toxic > 0))
+                    room -= size
+                last = name
+        net = train(texts, np.array(y, int)) if texts else Network.constantly(0.5)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], ["network"])
+
+    found = labelled(docs, labels, label, allowed, most).select(F.col("doc_id").cast("string").alias("doc_id"), "text", "y")
+    # a row for each of `most` at most, so one task is enough
+    with batches_of(docs.sparkSession, 200):
+        got = found.repartition(1).sortWithinPartitions("doc_id", "text", "y").mapInArrow(learn, "network binary").collect()
+    return pickle.loads(got[0][0]) if got else Network.constantly(0.5)
 
 
 def _scores(net: Network, texts: list[str | None]) -> np.ndarray:
