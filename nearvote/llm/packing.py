@@ -4,8 +4,11 @@ Documents become token ids and an end id; only those longer than a sequence are
 Pieces are dealt into groups of bounded size by a hash of their row, and every group is packed largest first. A piece
 has three demands, tokens, one document, and the square of its tokens as attention cost, and a sequence has a capacity
 for each. Among the sequences where all three fit, the piece goes where the weighted norm of what would be left is
-smallest. By default a token outweighs all else, so the choice is the tightest fit in tokens, and document count and
-attention cost settle ties.
+smallest. By default a sequence takes at most `MOST_DOCS` documents, which binds where tiny texts fill gaps, and tokens
+weigh twenty times what documents and attention cost do, which is enough for these to choose between sequences with nearly
+the same room. As a full piece needs the attention cost of `length` squared, a capacity that lets it in lets in
+every set of pieces with so many tokens; so by default attention cost chooses and doesn't bind. On the documents of sf0.1
+this takes 4540 sequences, where 4539 is the least possible.
 
 Tokenising: between two runs of ASCII white space the tokenizer's result doesn't depend on what lies around, so
 words are encoded once and remembered; a plain word is split by the tokenizer's own pattern and its parts looked up.
@@ -32,8 +35,10 @@ from .common import cut, slim
 MOST_WORDS = 400_000
 #: Pieces packed together.
 GROUP = 20_000
-#: Weights of what is left of tokens, documents and attention; one token of 2048 squared outweighs both others in full.
-WEIGHTS = (1.0, 1e-8, 1e-8)
+#: Documents in a sequence.
+MOST_DOCS = 64
+#: Weights of what is left of tokens, documents and attention cost, each as a share of its capacity, squared.
+WEIGHTS = (1.0, 0.05, 0.05)
 
 
 def _byte_letters() -> list[str]:
@@ -181,11 +186,11 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 0)
     return docs.mapInArrow(tokenise, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
-def pack(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 0, most_docs: int | None = None, attention: int | None = None, weights: tuple[float, float, float] = WEIGHTS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 0, most_docs: int | None = MOST_DOCS, attention: int | None = None, weights: tuple[float, float, float] = WEIGHTS) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: a row for each piece of docs.
 
-    most_docs and attention: capacities of a sequence for documents and for the sum of squared piece lengths; by
-    default as much as `length` tokens can ever need. A piece that alone exceeds `attention` gets a sequence for itself.
+    most_docs and attention: capacities of a sequence for documents and for the sum of squared piece lengths; None: as much
+    as `length` tokens can ever need. A piece that alone exceeds `attention` gets a sequence for itself.
     """
     capacity = (length, most_docs or length, attention or length * length)
     cutted = cut(pieces(slim(docs), tokenizer, length, end_id).withColumn("row", F.monotonically_increasing_id()), "pieces")
