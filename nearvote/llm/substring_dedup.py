@@ -19,7 +19,7 @@ than a window stay; an empty table gives an empty table; other columns are not l
 
 from __future__ import annotations
 
-
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,9 +35,11 @@ from .text import SPACED, Words, chunks, mix, rolling
 GRAM = 16
 #: Most windows in a segment.
 SEGMENT = 64
-#: The sketch: rows, cells in a block, and the largest number of cells as a power of two (16 MB a row as bits). Beyond
-#: that it filters less; results stay the same.
-DEPTH, BLOCK_BITS, MOST_BITS = 2, 16, 27
+#: The sketch: rows, cells in a block, and the largest number of cells as a power of two (128 MB a row as bits, which every worker
+#: holds). It is sized by the bytes of all texts; from 27 GB on it stays as it is and filters less, with the same results.
+DEPTH, BLOCK_BITS, MOST_BITS = 2, 16, 30
+#: Rows with whole texts that are rebuilt at once.
+ROWS = 500
 #: Bytes of text for each cell; an anchor comes every hundred bytes or so.
 BYTES_A_CELL = 25
 _ROWS = np.array([0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F], np.uint64)
@@ -163,13 +165,13 @@ def _removed(docs: DataFrame, window: int) -> DataFrame:
     bits = min(MOST_BITS, max(BLOCK_BITS, (size // BYTES_A_CELL).bit_length()))
     segments = cut(_segments(docs.where(F.col("doc_id").isNotNull()), window, bits, sketch(docs, window, bits)), "segments")
     # whole segments first: a row for each different one
-    me = F.struct("doc_id", "th", "pos")
+    me, kind = F.struct("doc_id", "th", "pos"), docs.schema["doc_id"].dataType.simpleString()
     kinds = cut(segments.groupBy("v", "s").agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("most"), F.min(me).alias("one"), F.count("*").alias("n")), "kinds")
     anchors = kinds.groupBy("v").agg(F.min("m").alias("v_min"), F.max("most").alias("v_max"), F.count("*").alias("n_kinds")).where("v_min < v_max")
     anchors = cut(anchors, "anchors")
     total = kinds.count()
     shared = join_counted(kinds, anchors, ["v"], "n_kinds", total)
-    alike = shared.where("n_kinds = 1").select("v", "s", "n", "m", F.lit(None).cast("array<bigint>").alias("mins"))
+    alike = shared.where("n_kinds = 1").select("v", "s", "n", "m", F.lit(None).cast(f"array<{kind}>").alias("mins"))
     # then the windows of one copy of each of several segments with one anchor
     ones = shared.where("n_kinds > 1").select("v", "s", "m", "n", F.col("one.doc_id").alias("doc_id"), F.col("one.th").alias("th"), F.col("one.pos").alias("pos"))
     several = segments.join(ones, ["v", "s", "doc_id", "th", "pos"]).dropDuplicates(["v", "s"])
@@ -177,7 +179,7 @@ def _removed(docs: DataFrame, window: int) -> DataFrame:
     least = windows.groupBy("v", "w").agg(F.min("m").alias("least"), F.count("*").alias("n_w"))
     known = join_counted(windows, cut(least, "least"), ["v", "w"], "n_w", windows.count())
     mixed = known.groupBy("v", "s", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "least"))), lambda x: x.least).alias("mins"))
-    mixed = mixed.select("v", "s", "n", F.lit(None).cast("bigint").alias("m"), "mins")
+    mixed = mixed.select("v", "s", "n", F.lit(None).cast(kind).alias("m"), "mins")
     verdicts = cut(alike.unionByName(mixed), "verdicts")
     judged = join_counted(segments.withColumn("k", F.size("windows")).drop("windows"), verdicts, ["v", "s"], "n", segments.count())
     every = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda i: F.col("pos") + i)
@@ -187,47 +189,61 @@ def _removed(docs: DataFrame, window: int) -> DataFrame:
     return judged.groupBy("doc_id", "th").agg(F.flatten(F.collect_list("gone")).alias("gone"))
 
 
-def _cleaned(docs: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
-    """docs with __n_words, __n_removed and __kept, the words that stay, joined by a space."""
+def _cleaned(docs: DataFrame, window: int, id_col: str, text_col: str, digest: bool) -> DataFrame:
+    """digest: docs with __n_words, __n_removed and __sha256 (of the words that stay, joined by a space) in place of the text; else docs with clean texts."""
     text = text_column(text_col)
-    hashed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    hashed = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
     gone = _removed(hashed, window).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th2"), F.col("gone").alias("__gone"))
     keyed = docs.withColumn("__th", F.xxhash64(text))
     both = keyed.join(gone, (keyed[id_col] == gone["__id"]) & (F.col("__th") == F.col("__th2")), "left").drop("__id", "__th", "__th2")
     at = docs.columns.index(text_col)
 
+    def rebuilt(batch: pa.RecordBatch) -> tuple[list[int], list[int], list]:
+        n_words, n_removed, kept = [], [], []
+        texts, gone = batch.column(at), batch.column(batch.num_columns - 1)
+        for i in range(batch.num_rows):
+            t, places = texts[i].as_py(), gone[i].as_py()
+            if not digest and not places:
+                kept.append(t)
+                continue
+            words = (t or "").encode("utf-8", "surrogatepass").split()
+            n_words.append(len(words))
+            if places:
+                change = np.zeros(len(words) + 1, np.int64)
+                np.add.at(change, places, 1)
+                np.add.at(change, np.array(places) + window, -1)
+                words = [words[i] for i in np.flatnonzero(np.cumsum(change[:-1]) == 0).tolist()]
+            n_removed.append(n_words[-1] - len(words))
+            clean = b" ".join(words)
+            kept.append(hashlib.sha256(clean).hexdigest() if digest else clean.decode("utf-8", "surrogatepass"))
+        return n_words, n_removed, kept
+
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n_words, n_removed, kept = [], [], []
-            for t, places in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
-                words = (t or "").encode("utf-8", "surrogatepass").split()
-                n_words.append(len(words))
-                if places:
-                    change = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(change, places, 1)
-                    np.add.at(change, np.array(places) + window, -1)
-                    stay = np.flatnonzero(np.cumsum(change[:-1]) == 0).tolist()
-                    n_removed.append(len(words) - len(stay))
-                    words = [words[i] for i in stay]
+        for whole in batches:
+            for begin in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(begin, ROWS)
+                n_words, n_removed, kept = rebuilt(batch)
+                rest = [c for k, c in enumerate(batch.columns[:-1]) if k != at]
+                if digest:
+                    yield pa.RecordBatch.from_arrays([*rest, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], schema.names)
                 else:
-                    n_removed.append(0)
-                kept.append(b" ".join(words).decode("utf-8", "surrogatepass"))
-            more = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *more], [*batch.schema.names[:-1], "__n_words", "__n_removed", "__kept"])
+                    yield pa.RecordBatch.from_arrays([*rest[:at], pa.array(kept, pa.string()), *rest[at:]], schema.names)
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("__n_words", T.LongType()), T.StructField("__n_removed", T.LongType()), T.StructField("__kept", T.StringType())])
+    if digest:
+        fields = [f for f in docs.schema.fields if f.name != text_col]
+        schema = T.StructType([*fields, T.StructField("__n_words", T.LongType()), T.StructField("__n_removed", T.LongType()), T.StructField("__sha256", T.StringType())])
+    else:
+        schema = docs.schema
     return both.mapInArrow(rebuild, schema)
 
 
 def report(docs: DataFrame, window: int = 50) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256: a row for each row of docs."""
-    out = _cleaned(slim(docs), window, "doc_id", "text")
-    return out.select("doc_id", F.col("__n_words").alias("n_words"), F.col("__n_removed").alias("n_removed"), F.sha2("__kept", 256).alias("kept_sha256"))
+    return _cleaned(slim(docs), window, "doc_id", "text", True).toDF("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def remove(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with repeated passages taken out of the text; texts that lose nothing stay as they are."""
     id_col, text_col = (f"col{docs.columns.index(c)}" for c in (id_col, text_col))
     docs, names = sealed(docs)
-    out = _cleaned(docs, window, id_col, text_col)
-    return out.withColumn(text_col, F.when(F.col("__n_removed") > 0, F.col("__kept")).otherwise(F.col(text_col))).select(docs.columns).toDF(*names)
+    return _cleaned(docs, window, id_col, text_col, False).select(docs.columns).toDF(*names)
