@@ -49,7 +49,7 @@ HEADS = 3
 #: Buckets of more nodes are rehashed by their rarer labels.
 BIG = 64
 #: Nodes of a block; a task compares two blocks at a time.
-BLOCK = 256
+BLOCK = 2048
 #: Bits of a document's cells, as 64-bit words.
 CELLS = 16
 #: Cells in which labels of rehashed nodes are counted, as a power of two: 8 MB. The counts only order labels; any order is exact.
