@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import types as T
 
 from nearvote.functions.constants import FAST, FULL, K
 from nearvote.functions.distance import box_bound, l2
 
 from . import kmeans
+from .knn import matrix
 from .topk import gathered, top_k, votes
 
 NO_BOUND = 9_223_372_036_854_775_807
@@ -54,11 +60,39 @@ def visits(queries: DataFrame, clusters: DataFrame, dim: int) -> DataFrame:
     )
 
 
+def _sent(clusters: DataFrame, dim: int) -> Broadcast:
+    """Numbers, sizes, centres and boxes of the clusters, at most MAX_CLUSTERS of them."""
+    names = [f"{p}{j}" for p in ("c", "lo", "hi") for j in range(dim)]
+    rows = clusters.orderBy("cluster_id").select("cluster_id", "n", *names).limit(kmeans.MAX_CLUSTERS + 1).collect()
+    if len(rows) > kmeans.MAX_CLUSTERS:
+        raise ValueError(f"more than {kmeans.MAX_CLUSTERS} clusters")
+    values = np.array([r[2:] for r in rows], np.float64).reshape(len(rows), 3, dim)
+    ids = np.array([r[0] for r in rows], np.int32), np.array([r[1] for r in rows], np.int64)
+    return clusters.sparkSession.sparkContext.broadcast((*ids, values[:, 0], values[:, 1], values[:, 2]))
+
+
+def _nearest_centres(points: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
+    """For each point the places of its n nearest centres, the first ones of equals."""
+    dist = (points * points).sum(1)[:, None] + (centres * centres).sum(1) - 2.0 * (points @ centres.T)
+    return dist.argmin(1)[:, None] if n == 1 else np.argsort(dist, axis=1, kind="stable")[:, :n]
+
+
+def _fields(queries: DataFrame, *more: T.StructField) -> T.StructType:
+    return T.StructType([*queries.schema.fields, *more])
+
+
 def probes(queries: DataFrame, clusters: DataFrame, dim: int, n_probe: int = 1) -> DataFrame:
     """qid, q0..., cluster_id: the clusters with the nearest centres, the smallest number of equals; empty ones too."""
-    order = Window.partitionBy("qid").orderBy("centre_dist", "cluster_id")
-    ranked = visits(queries, clusters, dim).withColumn("r", F.row_number().over(order))
-    return ranked.where(F.col("r") <= n_probe).select("qid", *(f"q{j}" for j in range(dim)), "cluster_id")
+    sent, rows, names = _sent(clusters, dim), _queries(queries, dim), [f"q{j}" for j in range(dim)]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, _, centres, _, _ = sent.value
+        for batch in batches:
+            near = _nearest_centres(matrix(batch, names), centres, n_probe)
+            row = np.repeat(np.arange(batch.num_rows), near.shape[1])
+            yield pa.RecordBatch.from_arrays([*batch.take(pa.array(row)).columns, pa.array(ids[near.ravel()])], [*batch.schema.names, "cluster_id"])
+
+    return rows.mapInArrow(work, _fields(rows, T.StructField("cluster_id", T.IntegerType())))
 
 
 def scan(chosen: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
@@ -68,17 +102,35 @@ def scan(chosen: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
     return joined.select("qid", "cluster_id", "orig_id", "is_fraud", *more, l2("q", "v", dim).alias("dist"))
 
 
-def candidates(queries: DataFrame, clusters: DataFrame, vectors: DataFrame, dim: int, k: int = K) -> DataFrame:
-    """qid, q0..., cluster_id, n, lb, bound, is_probe: the probe, and the clusters whose box is within the probe's k-th distance."""
-    probe = probes(queries, clusters, dim)
-    found = gathered(top_k(scan(probe, vectors, dim), ["qid"], k), ["qid"])
+def candidates(queries: DataFrame, clusters: DataFrame, vectors: DataFrame, dim: int, k: int = K, n_probe: int = 1) -> DataFrame:
+    """qid, q0..., cluster_id, n, lb, bound, is_probe: the probes, and the clusters whose box is within the k-th distance of what they hold.
+
+    Only clusters that can still matter become rows; boxes are looked at once the bound is known.
+    """
+    found = gathered(top_k(scan(probes(queries, clusters, dim, n_probe), vectors, dim), ["qid"], k), ["qid"])
     bound = F.when(F.size("top") >= k, F.element_at("top", k)["dist"]).otherwise(F.lit(NO_BOUND))
-    of_probe = probe.select("qid", F.col("cluster_id").alias("probe_id")).join(found.select("qid", bound.alias("bound")), "qid", "left")
-    of_probe = of_probe.withColumn("bound", F.coalesce("bound", F.lit(NO_BOUND)))
-    every = visits(queries, clusters, dim).join(of_probe, "qid")
-    is_probe = F.col("cluster_id") == F.col("probe_id")
-    near = every.where(is_probe | ((F.col("n") > 0) & (F.col("lb") <= F.col("bound"))))
-    return near.select("qid", *(f"q{j}" for j in range(dim)), "cluster_id", "n", "lb", "bound", is_probe.alias("is_probe"))
+    rows = _queries(queries, dim).join(found.select("qid", bound.alias("bound")), "qid", "left").withColumn("bound", F.coalesce("bound", F.lit(NO_BOUND)))
+    sent, names, width = _sent(clusters, dim), [f"q{j}" for j in range(dim)], dim + 1
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, sizes, centres, low, high = sent.value
+        for whole in batches:
+            for begin in range(0, whole.num_rows, 256):
+                batch = whole.slice(begin, 256)
+                points = matrix(batch, names)
+                probe = np.zeros((len(points), len(ids)), bool)
+                probe[np.arange(len(points))[:, None], _nearest_centres(points, centres, n_probe)] = True
+                lb = np.zeros(probe.shape)
+                for j in range(dim):
+                    lb += np.maximum(np.maximum(low[:, j] - points[:, j, None], points[:, j, None] - high[:, j]), 0.0) ** 2
+                lb = lb.astype(np.int64)
+                row, c = np.nonzero(probe | ((sizes > 0) & (lb <= batch.column(width).to_numpy()[:, None])))
+                kept = batch.take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([*kept.columns[:width], pa.array(ids[c]), pa.array(sizes[c]), pa.array(lb[row, c]), kept.column(width), pa.array(probe[row, c])], [*batch.schema.names[:width], "cluster_id", "n", "lb", "bound", "is_probe"])
+
+    longs = [T.StructField(c, T.LongType()) for c in ("n", "lb", "bound")]
+    out = _fields(rows.drop("bound"), T.StructField("cluster_id", T.IntegerType()), *longs, T.StructField("is_probe", T.BooleanType()))
+    return rows.select("qid", *names, "bound").mapInArrow(work, out)
 
 
 def _merge(fast: int, full: int, k: int):
@@ -101,24 +153,34 @@ def _merge(fast: int, full: int, k: int):
     return step
 
 
-def search(queries: DataFrame, clusters: DataFrame, vectors: DataFrame, dim: int, fast: int = FAST, full: int = FULL, k: int = K) -> DataFrame:
-    """qid, top, fraud_count, visited for each query.
-
-    The probe is visited first. Other clusters follow by number; one whose box may hold a nearer vector is visited,
-    until `fast` clusters were. If the vote is then 2 or 3, visits go on up to `full`; full = 0 never goes on, and
-    fast = 0 knows no budget, which makes the search exact. Each cluster's own k nearest are enough to merge, so the
-    sequential search is a fold over a short list for each query.
-    """
-    near = candidates(queries, clusters, vectors, dim, k)
+def visitable(queries: DataFrame, clusters: DataFrame, vectors: DataFrame, dim: int, k: int = K, n_probe: int = 1) -> DataFrame:
+    """qid, probe_top, n_probe, others (cluster_id, lb, top): what any search of these queries may visit; see `fold`."""
+    near = candidates(queries, clusters, vectors, dim, k, n_probe)
     found = scan(near.select("qid", *(f"q{j}" for j in range(dim)), "cluster_id", "bound"), vectors, dim).where("dist <= bound")
     tops = gathered(top_k(found, ["qid", "cluster_id"], k), ["qid", "cluster_id"])
     empty = F.array().cast("array<struct<dist: bigint, orig_id: bigint, label: int>>")
     listed = near.select("qid", "cluster_id", "lb", "is_probe").join(tops, ["qid", "cluster_id"], "left").withColumn("top", F.coalesce(F.col("top").cast("array<struct<dist: bigint, orig_id: bigint, label: int>>"), empty))
-    per_query = listed.groupBy("qid").agg(
-        F.first(F.when(F.col("is_probe"), F.col("top")), ignorenulls=True).alias("probe_top"),
+    return listed.groupBy("qid").agg(
+        F.slice(F.array_sort(F.flatten(F.collect_list(F.when(F.col("is_probe"), F.col("top"))))), 1, k).alias("probe_top"),
+        F.count_if("is_probe").cast("int").alias("n_probe"),
         F.array_sort(F.collect_list(F.when(~F.col("is_probe"), F.struct("cluster_id", "lb", "top")))).alias("others"),
     )
-    start = F.struct(F.coalesce("probe_top", empty).alias("top"), F.lit(1).alias("vis"), F.lit(False).alias("esc"), F.lit(False).alias("stop"))
+
+
+def fold(lists: DataFrame, fast: int = FAST, full: int = FULL, k: int = K) -> DataFrame:
+    """qid, top, fraud_count, visited of `visitable` lists, under one budget; several budgets can share the lists."""
+    start = F.struct(F.col("probe_top").alias("top"), F.col("n_probe").alias("vis"), F.lit(False).alias("esc"), F.lit(False).alias("stop"))
     end = F.aggregate("others", start, _merge(fast, full, k))
-    done = per_query.select("qid", end.alias("s"))
+    done = lists.select("qid", end.alias("s"))
     return done.select("qid", F.col("s.top").alias("top"), votes(F.col("s.top")).alias("fraud_count"), F.col("s.vis").alias("visited"))
+
+
+def search(queries: DataFrame, clusters: DataFrame, vectors: DataFrame, dim: int, fast: int = FAST, full: int = FULL, k: int = K, n_probe: int = 1) -> DataFrame:
+    """qid, top, fraud_count, visited for each query.
+
+    The n_probe clusters with the nearest centres are visited first. Others follow by number; one whose box may hold a nearer vector is visited,
+    until `fast` clusters were. If the vote is then 2 or 3, visits go on up to `full`; full = 0 never goes on, and
+    fast = 0 knows no budget, which makes the search exact. Each cluster's own k nearest are enough to merge, so the
+    sequential search is a fold over a short list for each query.
+    """
+    return fold(visitable(queries, clusters, vectors, dim, k, n_probe), fast, full, k)

@@ -1,9 +1,17 @@
-"""Exact nearest neighbours by brute force, without sorting or shuffling all pairs."""
+"""Exact nearest neighbours by brute force, without sorting or shuffling all pairs.
+
+Vectors stay where they are: the queries, a stated set, go to every task in blocks of at most about MAX_QUERIES, and a task keeps the k
+nearest of its vectors for each query. Distances are matrix products of whole numbers in double precision: all terms and sums stay
+below 2 ** 53, so they are exact.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,43 +20,113 @@ from nearvote.functions.distance import l2
 
 from .topk import top_k
 
-GROUPS = 64
 #: Queries sent to every task at once; more are answered in blocks.
 MAX_QUERIES = 10_000
+#: Vectors and queries whose distances are in memory at a time.
+TILE = (4096, 512)
+_NONE = np.iinfo(np.int64).max
 
 
 def _renamed(queries: DataFrame, dim: int) -> DataFrame:
     return queries.select(F.col("orig_id").alias("qid"), *(F.col(f"v{j}").alias(f"q{j}") for j in range(dim)))
 
 
-def distances(queries: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
-    """qid, orig_id, is_fraud, dist for each query and vector. The queries, a stated and bounded set, go to every task."""
-    return vectors.crossJoin(F.broadcast(_renamed(queries, dim))).select("qid", "orig_id", "is_fraud", l2("q", "v", dim).alias("dist"))
-
+def blocks(queries: DataFrame) -> list[DataFrame]:
+    """The queries in parts of about MAX_QUERIES at most."""
+    n = -(-queries.count() // MAX_QUERIES)
+    return [queries] if n <= 1 else [queries.where(F.pmod(F.xxhash64("orig_id"), F.lit(n)) == b) for b in range(n)]
 
-def bounds(queries: DataFrame, vectors: DataFrame, dim: int, k: int = K) -> DataFrame:
-    """qid, bound: no smaller than the k-th smallest distance; null if there may be fewer than k vectors.
 
-    Vectors are hashed into GROUPS groups and the least distance of each is taken, a hash aggregation with partial sums; the
-    k-th smallest of these belongs to the k-th of k different vectors.
-    """
-    pairs = distances(queries, vectors, dim).withColumn("g", F.pmod(F.xxhash64("orig_id"), F.lit(GROUPS)))
-    least = pairs.groupBy("qid", "g").agg(F.min("dist").alias("dist"))
-    return least.groupBy("qid").agg(F.get(F.sort_array(F.collect_list("dist")), F.lit(k - 1)).alias("bound"))
+def distances(queries: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
+    """qid, orig_id, is_fraud, dist for each query and vector, a block of queries after another."""
+    pairs = lambda b: vectors.crossJoin(F.broadcast(_renamed(b, dim))).select("qid", "orig_id", "is_fraud", l2("q", "v", dim).alias("dist"))
+    return reduce(DataFrame.unionByName, [pairs(b) for b in blocks(queries)])
+
+
+def matrix(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
+    """The columns of a batch as a matrix of doubles, a row for each row."""
+    return np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in names]) if batch.num_rows else np.zeros((0, len(names)))
+
+
+def whole(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Squared distances of whole numbers, exact."""
+    return (queries * queries).sum(1)[:, None] + (vectors * vectors).sum(1) - 2.0 * (queries @ vectors.T)
+
+
+def single(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Squared distances in single precision, added up dimension by dimension."""
+    q, v = queries.astype(np.float32), vectors.astype(np.float32)
+    out = np.zeros((len(q), len(v)), np.float32)
+    for j in range(q.shape[1]):
+        gap = q[:, j, None] - v[:, j]
+        out += gap * gap
+    return out
+
+
+class Nearest:
+    """The k nearest so far of each query, in the order of (distance, identifier)."""
+
+    def __init__(self, queries: np.ndarray, k: int, measure=whole):
+        self.queries, self.k, self.measure = queries, k, measure
+        self.dist = np.full((len(queries), k), np.inf)
+        self.ids = np.full((len(queries), k), _NONE)
+        self.labels = np.zeros((len(queries), k), bool)
+
+    def add(self, ids: np.ndarray, labels: np.ndarray, vectors: np.ndarray) -> None:
+        rows, cols = TILE
+        for a in range(0, len(ids), rows):
+            v, i, f = vectors[a : a + rows], ids[a : a + rows], labels[a : a + rows]
+            for b in range(0, len(self.queries), cols):
+                self._merge(b, self.measure(self.queries[b : b + cols], v), i, f)
+
+    def _merge(self, first: int, dist: np.ndarray, ids: np.ndarray, labels: np.ndarray) -> None:
+        part = slice(first, first + len(dist))
+        bound = self.dist[part, -1]
+        if dist.shape[1] > self.k and np.isinf(bound).any():
+            bound = np.minimum(bound, np.partition(dist, self.k - 1, axis=1)[:, self.k - 1])
+        q, at = np.nonzero(dist <= bound[:, None])
+        if not len(q):
+            return
+        some = np.unique(q)
+        old = np.repeat(some, self.k)
+        q = np.concatenate([old, q])
+        d = np.concatenate([self.dist[part][some].ravel(), dist[q[len(old) :], at]])
+        i = np.concatenate([self.ids[part][some].ravel(), ids[at]])
+        f = np.concatenate([self.labels[part][some].ravel(), labels[at]])
+        order = np.lexsort((i, d, q))
+        q, d, i, f = q[order], d[order], i[order], f[order]
+        begin = np.searchsorted(q, some)
+        take = begin[:, None] + np.arange(self.k)  # each has its k old places at least
+        self.dist[first + some], self.ids[first + some], self.labels[first + some] = d[take], i[take], f[take]
+
+
+def _nearest(queries: DataFrame, vectors: DataFrame, dim: int, k: int, measure, kind: str) -> DataFrame:
+    names = [f"v{j}" for j in range(dim)]
+    sc = queries.sparkSession.sparkContext
+
+    def of(block: DataFrame) -> DataFrame:
+        rows = block.select("orig_id", *names).collect()  # about MAX_QUERIES rows of numbers
+        sent = sc.broadcast((np.array([r[0] for r in rows], np.int64), np.array([r[1:] for r in rows], np.float64).reshape(len(rows), dim)))
+
+        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            qids, points = sent.value
+            best = Nearest(points, k, measure)
+            for batch in batches:
+                best.add(batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False).astype(bool), matrix(batch, names))
+            q, r = np.nonzero(best.ids != _NONE)
+            dist = best.dist[q, r].astype(np.int64 if kind == "bigint" else np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array(qids[q]), pa.array(best.ids[q, r]), pa.array(best.labels[q, r]), pa.array(dist)], ["qid", "orig_id", "is_fraud", "dist"])
+
+        return vectors.select("orig_id", "is_fraud", *names).mapInArrow(near, f"qid bigint, orig_id bigint, is_fraud boolean, dist {kind}")
+
+    return top_k(reduce(DataFrame.unionByName, [of(b) for b in blocks(queries)]), ["qid"], k)
 
 
 def exact_knn(queries: DataFrame, vectors: DataFrame, dim: int, k: int = K) -> DataFrame:
-    """qid, orig_id, is_fraud, dist, rank: the k nearest vectors of each query, MAX_QUERIES queries at a time."""
-    n = -(-queries.count() // MAX_QUERIES)
-    if n <= 1:
-        return _block(queries, vectors, dim, k)
-    blocks = [queries.where(F.pmod(F.xxhash64("orig_id"), F.lit(n)) == b) for b in range(n)]
-    return reduce(DataFrame.unionByName, [_block(b, vectors, dim, k) for b in blocks])
-
-
-def _block(queries: DataFrame, vectors: DataFrame, dim: int, k: int) -> DataFrame:
-    """A first pass bounds the k-th distance of each query, a second keeps the few pairs within the bound, and only these are ranked."""
-    near = _renamed(queries, dim).join(F.broadcast(bounds(queries, vectors, dim, k)), "qid", "left")
-    dist = l2("q", "v", dim)
-    pairs = vectors.crossJoin(F.broadcast(near)).where(F.col("bound").isNull() | (dist <= F.col("bound")))
-    return top_k(pairs.select("qid", "orig_id", "is_fraud", dist.alias("dist")), ["qid"], k)
+    """qid, orig_id, is_fraud, dist, rank: the k nearest vectors of each query, in whole numbers."""
+    return _nearest(queries, vectors, dim, k, whole, "bigint")
+
+
+def exact_knn_f32(queries: DataFrame, vectors: DataFrame, dim: int, k: int = K) -> DataFrame:
+    """The same of vectors of floats, with distances in single precision."""
+    return _nearest(queries, vectors, dim, k, single, "float")

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from nearvote.functions.constants import DIM, MCC_RISK
+from nearvote.functions.constants import FAST as OWN_FAST
+from nearvote.functions.constants import FULL as OWN_FULL
+from nearvote.operators.kmeans import DRAWS, MOST_SAMPLED, drawn
 
-from .fixtures import DIM64, FAST, FULL, MCC_CODES, NLIST14, NLIST64, ROUNDS
+from .fixtures import DIM64, FAST, FULL, MANY14, MCC_CODES, NLIST14, NLIST64, ROUNDS, SAMPLE
 
 RISK = "CASE mcc " + " ".join(f"WHEN {m} THEN CAST({r} AS FLOAT)" for m, r in MCC_RISK.items()) + " ELSE CAST(0.5 AS FLOAT) END"
 CODES = "[" + ", ".join(f"'{c}'" for c in MCC_CODES) + "]"
@@ -74,10 +77,13 @@ def cols(prefix: str, dim: int, table: str = "") -> str:
 
 
 VEC14 = PAYLOAD + ", vec14 AS MATERIALIZED (SELECT id AS orig_id, is_fraud, " + ", ".join(f"{f} AS v{j}" for j, f in enumerate(FEATURES)) + " FROM payload)"
-SETS14 = VEC14 + """, modulus AS (SELECT CASE WHEN count(*) > 50000 THEN 1000 ELSE 100 END AS m FROM events),
-queries AS (SELECT * FROM vec14 WHERE orig_id % (SELECT m FROM modulus) = 0), refs AS MATERIALIZED (SELECT * FROM vec14 WHERE orig_id % (SELECT m FROM modulus) <> 0)"""
+QUERIES14 = "queries AS (SELECT * FROM vec14 WHERE orig_id % 20 = 0)"
+SETS14 = VEC14 + f", {QUERIES14}, refs AS MATERIALIZED (SELECT * FROM vec14)"
+#: Draws with replacement, numbered.
+DRAWN14 = f"""draws AS (SELECT i AS draw, (SELECT min(orig_id) FROM vec14) + (i * i * 31 + i * 7) % (SELECT count(*) FROM vec14) AS orig_id FROM range({SAMPLE}) t(i)),
+queries AS (SELECT draw AS orig_id, vec14.* EXCLUDE (orig_id) FROM draws JOIN vec14 USING (orig_id))"""
 VEC64 = "vec64 AS MATERIALIZED (SELECT vec_id AS orig_id, label % 2 = 1 AS is_fraud, " + ", ".join(f"{q(f'embedding[{j + 1}]')} AS v{j}" for j in range(DIM64)) + " FROM embeddings)"
-SETS64 = VEC64 + ", queries AS (SELECT * FROM vec64 WHERE orig_id % 50 = 0), refs AS (SELECT * FROM vec64 WHERE orig_id % 50 <> 0)"
+SETS64 = VEC64 + ", queries AS (SELECT * FROM vec64 WHERE orig_id % 20 = 0), refs AS (SELECT * FROM vec64)"
 
 
 def l2(a: str, b: str, dim: int) -> str:
@@ -118,12 +124,20 @@ def rounds(n: int, dim: int, nlist: int) -> str:
     return out
 
 
-INDEX = SETS14 + rounds(ROUNDS, DIM, NLIST14) + assigned(ROUNDS, DIM) + f""", vectors AS MATERIALIZED (SELECT r.*, cluster_id FROM refs r JOIN a{ROUNDS} USING (orig_id)),
+def index(nlist: int, n_rounds: int) -> str:
+    return SETS14 + rounds(n_rounds, DIM, nlist) + assigned(n_rounds, DIM) + f""", vectors AS MATERIALIZED (SELECT r.*, cluster_id FROM refs r JOIN a{n_rounds} USING (orig_id)),
 boxes AS (SELECT cluster_id, count(*) AS n, {', '.join(f'min(v{j}) AS lo{j}, max(v{j}) AS hi{j}' for j in range(DIM))} FROM vectors GROUP BY cluster_id),
 clusters AS MATERIALIZED (SELECT c.cluster_id, coalesce(n, 0) AS n, {cols('c', DIM, 'c.')}, {', '.join(f'coalesce(lo{j}, CAST(0 AS SMALLINT)) AS lo{j}' for j in range(DIM))}, {', '.join(f'coalesce(hi{j}, CAST(0 AS SMALLINT)) AS hi{j}' for j in range(DIM))}
-    FROM c{ROUNDS} c LEFT JOIN boxes USING (cluster_id))"""
-PROBE = INDEX + f""", visits AS MATERIALIZED (SELECT q.orig_id AS qid, c.cluster_id, c.n, {l2('q.v', 'c.c', DIM)} AS centre_dist, {box(DIM)} AS lb FROM queries q CROSS JOIN clusters c),
-probe AS MATERIALIZED (SELECT qid, arg_min(cluster_id, centre_dist * 4096 + cluster_id) AS cluster_id FROM visits GROUP BY qid)"""
+    FROM c{n_rounds} c LEFT JOIN boxes USING (cluster_id))"""
+
+
+def probe(index_sql: str, n_probe: int = 1) -> str:
+    return index_sql + f""", visits AS MATERIALIZED (SELECT q.orig_id AS qid, c.cluster_id, c.n, {l2('q.v', 'c.c', DIM)} AS centre_dist, {box(DIM)} AS lb FROM queries q CROSS JOIN clusters c),
+probe AS MATERIALIZED (SELECT qid, cluster_id FROM visits QUALIFY row_number() OVER (PARTITION BY qid ORDER BY centre_dist, cluster_id) <= {n_probe})"""
+
+
+INDEX = index(NLIST14, ROUNDS)
+PROBE = probe(INDEX)
 SCAN = PROBE + f""", scanned AS (SELECT p.qid, v.orig_id, v.is_fraud, {l2('q.v', 'v.v', DIM)} AS dist FROM probe p JOIN queries q ON q.orig_id = p.qid JOIN vectors v USING (cluster_id)),
 probe_top AS MATERIALIZED (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY dist, orig_id) AS INT) AS rank FROM scanned) WHERE rank <= 5)"""
 NEAR = SCAN + """, bound AS (SELECT p.qid, p.cluster_id AS probe_id, coalesce(max(dist) FILTER (rank = 5), 9223372036854775807) AS bound FROM probe p LEFT JOIN probe_top USING (qid) GROUP BY ALL),
@@ -133,13 +147,14 @@ near AS MATERIALIZED (SELECT v.qid, v.cluster_id, v.n, v.lb, b.bound, v.cluster_
 def search(fast: int, full: int, name: str) -> str:
     """The sequential search, one cluster a step, over all clusters in order of their number."""
     return f""", all_{name} AS (SELECT x.qid, x.cluster_id, x.lb, row_number() OVER (PARTITION BY x.qid ORDER BY x.cluster_id) AS step
-    FROM visits x JOIN probe p ON p.qid = x.qid AND p.cluster_id <> x.cluster_id WHERE x.n > 0
+    FROM visits x ANTI JOIN probe p ON p.qid = x.qid AND p.cluster_id = x.cluster_id WHERE x.n > 0
 ), own_{name} AS (SELECT qid, cluster_id, list(struct_pack(dist := dist, orig_id := orig_id, label := CAST(is_fraud AS INT)) ORDER BY dist, orig_id) AS top FROM (
         SELECT q.orig_id AS qid, v.cluster_id, v.orig_id, v.is_fraud, {l2('q.v', 'v.v', DIM)} AS dist FROM queries q CROSS JOIN vectors v
         QUALIFY row_number() OVER (PARTITION BY q.orig_id, v.cluster_id ORDER BY dist, v.orig_id) <= 5) GROUP BY qid, cluster_id
 ), steps_{name} AS MATERIALIZED (SELECT a.qid, a.step, a.lb, o.top FROM all_{name} a JOIN own_{name} o USING (qid, cluster_id)
 ), {name} AS (
-    SELECT p.qid, CAST(0 AS BIGINT) AS step, coalesce(o.top, []) AS top, 1 AS vis, false AS esc, false AS stop FROM probe p LEFT JOIN own_{name} o USING (qid, cluster_id)
+    SELECT p.qid, CAST(0 AS BIGINT) AS step, coalesce(list_sort(flatten(list(o.top)))[1:5], []) AS top, CAST(count(*) AS INT) AS vis, false AS esc, false AS stop
+    FROM probe p LEFT JOIN own_{name} o USING (qid, cluster_id) GROUP BY p.qid
     UNION ALL
     SELECT qid, step, CASE WHEN take THEN list_sort(list_concat(top, more))[1:5] ELSE top END, CASE WHEN take THEN vis + 1 ELSE vis END,
         CASE WHEN over THEN esc ELSE esc OR ({fast} > 0 AND vis >= {fast}) END, over
@@ -182,6 +197,35 @@ made AS (
         CASE WHEN state = 'ok' THEN content_length END AS content_length, CASE WHEN state = 'ok' THEN keepalive END AS keepalive, CASE WHEN state = 'ok' THEN body END AS body FROM parsed
 )"""
 
+def plus_plus(n: int, dim: int, seed: int) -> str:
+    """k-means++ seeding, a centre a step: weights are squared distances from the nearest centre so far, and a draw picks by their running sum."""
+    draws, order = drawn(seed), "(orig_id * 7919) % 10007, orig_id"
+    out = f", points AS MATERIALIZED (SELECT row_number() OVER (ORDER BY {order}) - 1 AS i, {cols('v', dim)} FROM (SELECT * FROM refs ORDER BY {order} LIMIT {MOST_SAMPLED}))"
+    even = lambda draw: f"(SELECT {draw} * count(*) // {DRAWS} FROM points)"
+    out += f", at0 AS (SELECT {even(next(draws))} AS i), w0 AS MATERIALIZED (SELECT p.i, {l2('p.v', 'c.v', dim)} AS w FROM points p CROSS JOIN (SELECT points.* FROM points JOIN at0 USING (i)) c)"
+    for k in range(1, n):
+        draw = next(draws)
+        out += f", run{k} AS (SELECT i, sum(w) OVER (ORDER BY i) AS running, sum(w) OVER () AS total FROM w{k - 1})"
+        out += f", at{k} AS MATERIALIZED (SELECT CASE WHEN max(total) > 0 THEN min(i) FILTER (running * {DRAWS} >= {draw} * total) ELSE {even(draw)} END AS i FROM run{k})"
+        out += f", w{k} AS MATERIALIZED (SELECT p.i, least(w, {l2('p.v', 'c.v', dim)}) AS w FROM points p JOIN w{k - 1} USING (i) CROSS JOIN (SELECT points.* FROM points JOIN at{k} USING (i)) c)"
+    return out
+
+
+def chosen(n: int, dim: int) -> str:
+    return " UNION ALL ".join(f"SELECT {k} AS cluster_id, {', '.join(f'CAST(v{j} AS INT) AS c{j}' for j in range(dim))} FROM points JOIN at{k} USING (i)" for k in range(n))
+
+
+def single(prefix: str, j: int) -> str:
+    return f"(CAST({prefix}{j} AS FLOAT) * CAST(0.0001 AS FLOAT))"
+
+
+def l2_f32(dim: int) -> str:
+    gap = lambda j: f"({single('q.v', j)} - {single('r.v', j)})"
+    return " + ".join(f"{gap(j)} * {gap(j)}" for j in range(dim))
+
+
+REFERENCES = [[((i + 1) * (j + 1) * 137 % 4000) / 4000 for j in range(DIM)] for i in range(16)]
+
 EVERY = ", ".join(["id", "amount", "installments", "requested_at", "cust_avg_amount", "tx_count_24h", "merchant_id", "mcc", "merchant_avg_amount", "is_online", "card_present", "km_from_home", "last_minutes", "last_km"])
 
 SQL = {
@@ -229,5 +273,12 @@ SQL = {
     "q38_routes": with_(REQUESTS, "SELECT method, path, CASE WHEN method = 'GET' AND path = '/ready' THEN 'ready' WHEN method = 'POST' AND path = '/fraud-score' THEN 'score' ELSE 'not_found' END AS route, CASE WHEN (method = 'GET' AND path = '/ready') OR (method = 'POST' AND path = '/fraud-score') THEN 200 ELSE 404 END AS status, count(*) AS n FROM requests WHERE state = 'ok' GROUP BY ALL"),
     "q39_header_parse": with_(REQUESTS, "SELECT * FROM requests"),
     "q40_prune_effectiveness": with_(NEAR, "SELECT qid, count(*) AS n_clusters, CAST(sum(near.n) AS BIGINT) AS n_vectors, (SELECT CAST(sum(n) AS BIGINT) FROM clusters) AS total FROM near GROUP BY qid"),
+    "q41_refs_reader": "SELECT CAST(i AS BIGINT) AS orig_id, i % 2 = 1 AS is_fraud, " + ", ".join(f"{q(f'CAST(x[{j + 1}] AS FLOAT)')} AS v{j}" for j in range(DIM)) + " FROM (VALUES " + ", ".join(f"({i}, {x})" for i, x in enumerate(REFERENCES)) + ") t(i, x)",
+    "q43_kmeans_mllib": f"SELECT {NLIST64} AS n_clusters, true AS no_worse",
+    "q45_kmeans_plus_plus": with_(SETS64 + plus_plus(8, DIM64, 42), chosen(8, DIM64)),
+    "q46_exact_knn14_f32": with_(SETS14, f"SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY dist, orig_id) AS INT) AS rank FROM (SELECT q.orig_id AS qid, r.orig_id, r.is_fraud, {l2_f32(DIM)} AS dist FROM queries q CROSS JOIN refs r)) WHERE rank <= 5"),
+    "q47_recall_sampled": with_((PROBE + search(FAST, FULL, "s") + knn(DIM) + compared("s")).replace(QUERIES14, DRAWN14), report("s", "sampled"), True),
+    "q48_ivf_256_adaptive_8_24": with_(probe(index(MANY14, 1)) + search(OWN_FAST, OWN_FULL, "s"), "SELECT qid, fraud_count, visited FROM end_s", True),
+    "q49_ivf_three_probes": with_(probe(INDEX, 3) + search(4, FULL, "s"), "SELECT qid, fraud_count, visited FROM end_s", True),
     "q42_index_roundtrip": with_(INDEX, f"SELECT cluster_id, orig_id, is_fraud, {cols('v', DIM)} FROM vectors"),
 }

@@ -2,12 +2,13 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from nearvote.functions.constants import K
 from nearvote.operators import ivf, kmeans, recall
-from nearvote.operators.knn import exact_knn
+from nearvote.operators.knn import exact_knn, exact_knn_f32
 from nearvote.operators.scoring import decide, response_body
 from nearvote.operators.topk import gathered, top_k, votes
 
@@ -143,9 +144,15 @@ def test_recall_thresholds(spark):
 
 
 def test_percentiles_are_taken_by_index(spark):
-    v = F.sequence(F.lit(1), F.lit(2000))
-    row = spark.range(1).select(recall.at_index(v, 1, 2), recall.at_index(v, 99, 100), recall.at_index(v, 999, 1000)).first()
+    places = {"p50": (1, 2), "p99": (99, 100), "p999": (999, 1000)}
+    row = recall.percentiles(spark.range(1, 2001), "id", places).first()
     assert tuple(row) == (1001, 1981, 1999)
+    rng = random.Random(4)
+    for n in (1, 2, 7, 100):
+        values = sorted(rng.randint(0, 9) for _ in range(n))
+        row = recall.percentiles(spark.createDataFrame([(v,) for v in values], "id int"), "id", places).first()
+        assert tuple(row) == tuple(values[n * a // b] for a, b in places.values())
+    assert tuple(recall.percentiles(spark.range(0), "id", places).first()) == (None, None, None)
 
 
 def test_responses(spark):
@@ -154,8 +161,47 @@ def test_responses(spark):
     assert [r[0] for r in rows] == want
 
 
-def test_plans_stay_in_the_engine(data):
+def test_plans_pair_no_rows(data):
+    """Neighbours come from matrix products over batches, not from rows for each pair of a query and a vector."""
     _, _, qdf, clusters, assigned = data
     for df in (exact_knn(qdf, assigned, DIM), ivf.search(qdf, clusters, assigned, DIM)):
         plan = df._jdf.queryExecution().executedPlan().toString()
-        assert "Python" not in plan and "CartesianProduct" not in plan and "Broadcast" in plan
+        assert "MapInArrow" in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+    assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_single_precision_neighbours(spark, data):
+    rows, queries, qdf, _, assigned = data
+    single = lambda df: df.select("orig_id", "is_fraud", *((F.col(f"v{j}").cast("float") * F.lit(0.0001).cast("float")).alias(f"v{j}") for j in range(DIM)))
+    got = {}
+    for r in exact_knn_f32(single(qdf), single(assigned), DIM).orderBy("qid", "rank").collect():
+        got.setdefault(r["qid"], []).append((r["dist"], r["orig_id"]))
+    for q in queries:
+        want = []
+        for r in rows:
+            total = np.float32(0)
+            for x, y in zip(q[2:], r[2:], strict=True):
+                gap = np.float32(x) * np.float32(0.0001) - np.float32(y) * np.float32(0.0001)
+                total = np.float32(total + gap * gap)
+            want.append((float(total), r[0]))
+        assert got[q[0]] == sorted(want)[:K]
+
+
+@pytest.mark.parametrize("n_probe", [2, 5])
+def test_several_probes(spark, data, n_probe):
+    rows, queries, qdf, clusters, assigned = data
+    got = {r["qid"]: r for r in ivf.search(qdf, clusters, assigned, DIM, 0, 0, n_probe=n_probe).collect()}
+    assert {q: r["fraud_count"] for q, r in got.items()} == {q[0]: sum(t[2] for t in plain_knn(q, rows)) for q in queries}
+    assert all(r["visited"] >= n_probe for r in got.values())
+    only = ivf.search(qdf, clusters, assigned, DIM, n_probe, 0, n_probe=n_probe).collect()
+    assert all(r["visited"] == n_probe for r in only)
+
+
+def test_plus_plus_draws_by_distance(spark):
+    rows = [(i, False, *(100 * (i % 3), 0, 0)) for i in range(60)]
+    centres = kmeans.plus_plus(frame(spark, rows), 3, DIM, kmeans.drawn(1))
+    assert sorted(centres) == [(0, 0, 0), (100, 0, 0), (200, 0, 0)]  # points that coincide with a centre have no weight
+    same = kmeans.plus_plus(frame(spark, [(i, False, 5, 5, 5) for i in range(4)]), 3, DIM, kmeans.drawn(1))
+    assert same == [(5, 5, 5)] * 3  # no weight is left: drawn evenly
+    with pytest.raises(ValueError):
+        kmeans.plus_plus(frame(spark, []), 1, DIM, kmeans.drawn(1))
