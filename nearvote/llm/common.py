@@ -36,22 +36,39 @@ def text_column(name: str = "text") -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A folder that the driver and all executors share: the cluster's spark.checkpoint.dir.
+    """A folder that the driver and all executors share: the cluster's spark.checkpoint.dir, or its checkpoint folder.
 
-    Where that is unset (single machines, tests) a local one is made and set.
+    Where neither is set, on a local master only (single machines, tests), a temporary one is made and set.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         got = spark.sparkContext._jsc.sc().getCheckpointDir()
         if got.isEmpty():
+            if not (spark.sparkContext.master + "[").startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
             got = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = got.get()
     return folder.rstrip("/")
 
 
+#: Paths given out so far, by application.
+_given: dict[str, list[str]] = {}
+
+
 def new_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+    _given.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def discard(spark: SparkSession) -> int:
+    """Deletes the tables that operators wrote for this application; for when no result made from them is read any more."""
+    paths = _given.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    return len(paths)
 
 
 @contextlib.contextmanager

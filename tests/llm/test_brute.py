@@ -1,5 +1,6 @@
 """Operators that SQL can't express, against plain versions."""
 
+import itertools
 import random
 import re
 import struct
@@ -12,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from nearvote.llm import decontaminate, exact_dedup, order_minhash, packing, pii, quality, sharding, substring_dedup, toxicity
+from nearvote.llm import decontaminate, exact_dedup, line_dedup, order_minhash, packing, pii, quality, sharding, substring_dedup, toxicity
 from nearvote.llm.queries import QUERIES, tokenizer_path
 from nearvote.llm.text import ALNUM, SPACED, Words, rolling
 
@@ -98,6 +99,43 @@ def test_repeats_lend_each_other_evidence():
 # --- classifiers
 
 
+def _enumerated(field, seq, observed):
+    """Marginals of the field by summing over all labellings."""
+    score = pii._features(seq) @ field.unary
+    chain, skip = pii._edges(seq)
+    n, k = len(seq), len(pii.LABELS)
+    out = np.zeros((n, k))
+    for labels in itertools.product(range(k), repeat=n):
+        if all(o < 0 or o == x for o, x in zip(observed, labels, strict=True)):
+            total = sum(score[i, x] for i, x in enumerate(labels))
+            total += sum(field.chain[labels[a], labels[b]] for a, b in chain) + sum(field.skip[labels[a], labels[b]] for a, b in skip)
+            for i, x in enumerate(labels):
+                out[i, x] += np.exp(total)
+    return out / out.sum(1, keepdims=True)
+
+
+def test_marginals_equal_enumeration():
+    """Exact where edges form a tree; where they form a cycle, with messages that go round, the likeliest labels are the same."""
+    field = pii.trained()
+    trees = ["call 555-123-4567 or (555) 123-4567", "x@y.org and 12 and X@Y.ORG", "4111 1111 apples", "5551234 5551234", "no 17 or 2031-02-03 1"]
+    for text in trees:
+        seq = pii.tokens(text)
+        observed = np.full(len(seq), -1)
+        if len(pii._edges(seq)[0]) + len(pii._edges(seq)[1]) < len(seq):
+            assert np.allclose(field.marginals(seq, observed), _enumerated(field, seq, observed), atol=2e-3), text
+    seq = pii.tokens("4111.1111.1111.1111 then 4111 1111 1111 1111")
+    observed = np.full(len(seq), -1)
+    observed[0] = 3
+    got, want = field.marginals(seq, observed), _enumerated(field, seq, observed)
+    assert (got.argmax(1) == want.argmax(1)).all()
+
+
+def test_spaced_groups_share_a_key():
+    seq = pii.tokens("card 4111 1111 1111 1111, later 4111.1111.1111.1111 and 12 apples")
+    keys = pii._keys(seq)
+    assert keys[0] == keys[3] == keys[4] == "1111111" and keys[5] is None
+
+
 def _auc(y, s):
     order = np.argsort(s)
     rank = np.empty(len(s))
@@ -156,6 +194,24 @@ def test_gradients_of_the_network():
         assert (up - down) / 2e-2 == pytest.approx(float(g[name][at]), rel=0.05, abs=0.02)
 
 
+def test_held_out_toxicity(spark):
+    """Through the query itself, on documents whose labels it never saw."""
+    out = QUERIES["op2_toxicity"](spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").where("held_out").toPandas()
+    right, flagged = ((out["predicted"] == 1) & (out["toxic"] == 1)).sum(), (out["predicted"] == 1).sum()
+    assert right / max(1, flagged) >= 0.9 and right / (out["toxic"] == 1).sum() >= 0.7
+    assert _auc(out["toxic"].to_numpy(), out["score"].to_numpy()) > 0.95
+
+
+def test_training_rows_are_bounded_in_number_and_bytes(spark):
+    docs = spark.createDataFrame([(i, "w " * (10_000 if i == 3 else 5)) for i in range(20)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id bigint, toxic int")
+    held = lambda **kw: toxicity.fit(docs, labels, F.lit(True), **kw)
+    # document 3 doesn't fit, the others do: the same network as without it
+    a, b = held(most_bytes=5_000), toxicity.fit(docs.where("doc_id != 3"), labels, F.lit(True))
+    assert all((a.p[k] == b.p[k]).all() for k in a.p)
+    assert held(most_bytes=1).constant == 0.5
+
+
 def test_every_word_is_in_a_window():
     v = toxicity.Vocabulary(["a b c", "", " ".join(map(str, range(100)))])
     windows, text = v.windows()
@@ -214,6 +270,27 @@ def test_map_edits_are_a_new_version(spark, tmp_path):
     assert sharding.SlotMap.load(spark, str(tmp_path), 4, 2).shards == new.shards
 
 
+def test_a_later_run_edits_the_stored_map(spark, tmp_path):
+    path = str(tmp_path / "map")
+    rows = [(i, f"text {i} " + "x" * (i * 37 % 300)) for i in range(3000)] + [(9000 + i, "hot " * 60) for i in range(700)]
+    first = sharding.assign(spark.createDataFrame(rows, "doc_id bigint, text string"), 8, 512, path).toPandas()
+    more = rows + [(20_000 + i, f"later {i} " + "y" * (i * 11 % 200)) for i in range(300)]
+    second = sharding.assign(spark.createDataFrame(more, "doc_id bigint, text string"), 8, 512, path).toPandas()
+    assert set(first["map_version"]) == {2} and set(second["map_version"]) == {3} and sharding.SlotMap.last_version(spark, path) == 3
+    both = first.merge(second, on="doc_id")
+    assert (both["virtual_slot_x"] == both["virtual_slot_y"]).all()
+    old, new = (sharding.SlotMap.load(spark, path, 8, v) for v in (2, 3))
+    assert [s for s, (a, b) in enumerate(zip(old.shards, new.shards, strict=True)) if a != b] == [s for s, _, _ in new.edits]
+    assert 0 < len(new.edits) < 60 and len(old.shards) == len(new.shards) == 512 + 8 * sharding.RESERVED
+    assert first["split"].sum() == 700 and old.splits == new.splits
+    by = second.groupby("shard")["size"].sum()
+    assert by.max() <= 1.02 * by.mean()
+    for _, part in second.groupby("shard"):
+        assert sorted(part["slot"]) == list(range(len(part)))
+    with pytest.raises(ValueError):
+        sharding.assign(spark.createDataFrame(rows, "doc_id bigint, text string"), 9, 512, path)
+
+
 # --- exact dedup
 
 
@@ -232,6 +309,13 @@ def test_tree_merge_over_many_runs(spark, keep, pick):
         assert (r["keep_id"], r["group_size"], r["kept"]) == (pick(same), len(same), r["doc_id"] == pick(same))
 
 
+def test_one_fixed_row_of_repeated_ones_stays(spark):
+    rows = [(1, "same", f"note {k}", {"k": k}) for k in range(30)] + [(0, "same", "x", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, note string, more map<string, int>")
+    got = {tuple(exact_dedup.deduplicate(docs.repartition(n), "largest").select("doc_id", "note").first()) for n in (1, 3, 7)}
+    assert len(got) == 1 and next(iter(got))[0] == 1
+
+
 # --- decontamination
 
 
@@ -244,6 +328,38 @@ def test_longest_matches_and_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 8)
     assert sorted(map(tuple, decontaminate.report(docs, bench).collect())) == one
     assert [r[2] for r in one] == [12, 2, 2]
+    monkeypatch.setattr(decontaminate, "PASS_BYTES", 8)
+    assert sorted(map(tuple, decontaminate.report(docs, bench).collect())) == one
+    assert sorted(tuple(r) for r in decontaminate.longest_matches(docs, bench).collect()) == got
+
+
+def test_suffix_arrays_against_plain_search():
+    rng = random.Random(1)
+    for _ in range(300):
+        window, letters = rng.choice([1, 2, 3, 4, 7, 10]), "abCdeF"[: rng.choice([2, 3, 6])]
+        made = lambda n: " ".join(rng.choice(letters) for _ in range(rng.randint(0, n)))  # noqa: E731, B023
+        texts, items = [made(25) for _ in range(rng.randint(0, 5))], [(str(i % 3), made(14)) for i in range(rng.randint(0, 4))]
+        array = decontaminate.SuffixArray(texts, window)
+        blocks = [decontaminate.TestSuffixes([x for x in items if x[0] == str(k)], window) for k in range(3)]
+        spans, found = decontaminate.hits(array, iter(blocks))
+        longest = set()
+        for i, t in enumerate(texts):
+            w, covered, own = t.lower().split(), set(), set()
+            for name, x in items:
+                y = x.lower().split()
+                n = min(window, len(y))
+                for p, q in itertools.product(range(len(w) - n + 1), range(len(y) - n + 1 if n else 0)):
+                    if w[p : p + n] == y[q : q + n]:
+                        covered |= set(range(p, p + n))
+                        own.add(name)
+                        if not p or not q or w[p - 1] != y[q - 1]:
+                            while p + n < len(w) and q + n < len(y) and w[p + n] == y[q + n]:
+                                n += 1
+                            longest.add((i, name, p, q, n))
+                            n = min(window, len(y))
+            assert {z for a, b in zip(spans[i][::2], spans[i][1::2], strict=True) for z in range(a, b)} == covered
+            assert found[i] == sorted(own)
+        assert {m for b in blocks for m in decontaminate.matches(array, b)} == longest
 
 
 # --- packing
@@ -296,11 +412,46 @@ def test_every_capacity_holds():
 # --- near-duplicates
 
 
+def _aligned(x, y):
+    """The longest common subsequence of two sequences of different labels, by the textbook table."""
+    best = [0] * (len(y) + 1)
+    for a in x:
+        before = 0
+        for j, b in enumerate(y, 1):
+            best[j], before = (before + 1 if a == b else max(best[j], best[j - 1])), best[j]
+    return best[-1]
+
+
+def _labels(text):
+    """Shingles with their occurrence numbers, in text order."""
+    w = WORD.findall((text or "").translate(ASCII_LOWER))
+    grams = [tuple(w[k : k + 5]) for k in range(len(w) - 4)] if len(w) >= 5 else [tuple(w)] if w else []
+    seen = Counter()
+    out = []
+    for g in grams:
+        out.append((g, seen[g]))
+        seen[g] += 1
+    return out
+
+
+def _links(docs, at_least=0.8):
+    """All pairs whose labels align, in order, to at_least."""
+    labels = {i: _labels(t) for i, t in docs.items()}
+    sets = {i: set(x) for i, x in labels.items()}
+    ids = sorted(docs)
+    for x, i in enumerate(ids):
+        for j in ids[:x]:
+            n, m = len(labels[i]), len(labels[j])
+            common = len(sets[i] & sets[j]) if n and m and min(n, m) >= at_least * max(n, m) else 0
+            if common and common / (n + m - common) >= at_least:  # order can only lessen it
+                shared = sets[i] & sets[j]
+                a, b = ([x for x in labels[k] if x in shared] for k in (i, j))
+                common = len(a) if a == b else _aligned(a, b)
+                if common / (n + m - common) >= at_least:
+                    yield i, j
+
+
 def _classes(docs, at_least=0.8):
-    grams = {}
-    for i, t in docs.items():
-        w = WORD.findall((t or "").translate(ASCII_LOWER))
-        grams[i] = Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else Counter([tuple(w)] if w else [])
     parent = {i: i for i in docs}
 
     def root(a):
@@ -308,14 +459,9 @@ def _classes(docs, at_least=0.8):
             a = parent[a]
         return a
 
+    for i, j in _links(docs, at_least):
+        parent[root(i)] = root(j)
     ids = sorted(docs)
-    for x, i in enumerate(ids):
-        for j in ids[:x]:
-            n, m = grams[i].total(), grams[j].total()
-            if n and m and min(n, m) >= at_least * max(n, m):
-                common = (grams[i] & grams[j]).total()
-                if common / (n + m - common) >= at_least:
-                    parent[root(i)] = root(j)
     low = {}
     for i in ids:
         low[root(i)] = min(low.get(root(i), i), i)
@@ -408,6 +554,54 @@ def test_pairs_within_a_common_passage(spark):
     assert _found(spark, docs) == _classes(docs)
 
 
+def test_recall_over_groups_of_all_sizes(spark):
+    """Links found, of those that brute force finds: families with and without their hub, chains, shared passages of several shares, moved halves."""
+    rng = random.Random(21)
+    fresh = lambda n: [f"w{rng.randint(0, 10**9)}" for _ in range(n)]
+    texts = []
+    for size in (2, 5, 30, 300):
+        hub = fresh(150)
+        texts += [_replaced(rng, hub, rng.sample(range(5, 145), rng.choice([1, 2, 3]))) for _ in range(size)]
+    for share in (100, 150, 175):
+        passage = fresh(share)
+        for _ in range(80):
+            own = fresh(200 - share)
+            one = own[: len(own) // 2] + passage + own[len(own) // 2 :]
+            texts += [one, _replaced(rng, one, [0])]
+    for _ in range(10):
+        one = fresh(120)
+        texts += [one, one[60:] + one[:60]]
+    chain = [fresh(100)]
+    for k in range(60):
+        chain.append(_replaced(rng, chain[-1], [(k * 17) % 95]))
+    texts += chain
+    rng.shuffle(texts)
+    docs = {k: " ".join(t) for k, t in enumerate(texts)}
+    links, got = list(_links(docs)), _found(spark, docs)
+    assert len(links) > 1000
+    assert sum(got[i] == got[j] for i, j in links) >= 0.999 * len(links)
+    assert got == _classes(docs)
+
+
+def test_many_texts_around_one_passage_take_no_rounds(spark):
+    rng = random.Random(5)
+    fresh = lambda n: [f"w{rng.randint(0, 10**9)}" for _ in range(n)]
+    passage, texts = fresh(170), []
+    for _ in range(1000):
+        own = fresh(30)
+        texts += [own[:15] + passage + own[15:], [*fresh(1), *own[1:15], *passage, *own[15:]]]
+    got = _found(spark, {k: " ".join(t) for k, t in enumerate(texts)})
+    assert [got[k] for k in range(2000)] == [k - k % 2 for k in range(2000)]
+
+
+def test_one_row_of_each_class_stays(spark):
+    """Also where rows of one identifier have different texts of one class."""
+    base = [f"w{i}" for i in range(100)]
+    rows = [(7, " ".join(base)), (7, " ".join(["z", *base[1:]])), (8, " ".join(base[:-1])), (9, "other words here"), (9, "other words here")]
+    kept = order_minhash.deduplicate(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(r["doc_id"] for r in kept) == [7, 9]
+
+
 def test_alignment_minds_order():
     a = order_minhash.Shingles([" ".join(map(str, range(60)))]).labels
     assert order_minhash.similarity(a, a, 0.8) == 1.0
@@ -444,6 +638,28 @@ def test_substrings_on_repetitive_texts(spark, window):
     assert kept == {i: want[i][2] if want[i][1] else t for i, t in docs.items()}
 
 
+def test_line_runs_over_many_batches(spark):
+    rng = random.Random(3)
+    docs = {i: "\n".join(rng.choice([f"  Line {rng.randint(0, 30)} ", "", f"own {i} {k}"]) for k in range(rng.randint(0, 8))) for i in range(150)}
+    key = lambda line: line.strip(" \t\n\x0b\x0c\r").translate(ASCII_LOWER)
+    held = Counter(k for t in docs.values() for k in {key(x) for x in t.split("\n")})
+    want = {i: "\n".join(x for x in t.split("\n") if not key(x) or held[key(x)] < 10) for i, t in docs.items()}
+    df = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string").repartition(3)
+    for batches, fan_out in ((1, 2), (4, 2), (7, 3)):
+        assert dict(line_dedup.deduplicate_lines(df, 10, batches=batches, fan_out=fan_out).collect()) == want
+
+
+@pytest.mark.parametrize("kind", ["string", "bigint"])
+def test_identifiers_of_other_types_and_rows_of_one(spark, kind):
+    """Text identifiers are compared as text; rows of one identifier don't remove one another."""
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [("1", passage + " a"), ("1", passage + " b"), ("2", "x " + passage), (None, passage)]
+    df = spark.createDataFrame(rows, "doc_id string, text string").withColumn("doc_id", F.col("doc_id").cast(kind))
+    got = sorted((str(r["doc_id"]), r["n_words"], r["n_removed"]) for r in substring_dedup.report(df, 20).collect())
+    assert got == [("1", 31, 0), ("1", 31, 0), ("2", 31, 30), ("None", 30, 0)]
+    assert line_dedup.line_report(df, 2).count() == exact_dedup.groups(df).count() == order_minhash.classes(df).count() == 4
+
+
 # --- pipeline
 
 
@@ -453,6 +669,8 @@ def test_pipeline_stages(spark):
     texts = dict(docs.select("doc_id", "text").collect())
     kept = pipeline.drop_toxic(spark, docs, SF)
     assert kept.columns == docs.columns
+    scored = {r["doc_id"]: r["score"] for r in QUERIES["op2_toxicity"](spark, SF).collect()}
+    assert {r["doc_id"] for r in kept.collect()} == {i for i, x in scored.items() if x < pipeline.TOXIC_FROM}
     after = pipeline.drop_copies(spark, docs, SF)
     last = {}
     for i, t in texts.items():
@@ -463,4 +681,9 @@ def test_pipeline_stages(spark):
     clean = pipeline.drop_contaminated(spark, docs, SF)
     hit = {r["doc_id"] for r in QUERIES["op4_decontaminate"](spark, SF).where("contaminated").collect()}
     assert {r["doc_id"] for r in clean.collect()} == set(texts) - hit
+    packed = pipeline.pack(spark, clean, SF).toPandas()
+    words = packing.word_ids(tokenizer_path())
+    want = {r["doc_id"]: len(words.text(r["text"])) // 4 + 1 for r in clean.collect()}
+    assert packed.groupby("doc_id")["length"].sum().to_dict() == want
+    assert packed.groupby("sequence_id")["length"].sum().max() <= 2048 and packed.groupby("sequence_id").size().max() <= packing.MOST_DOCS
     assert [name for name, _ in pipeline.STAGES] == ["toxicity", "exact dedup", "near dedup", "decontamination", "packing"]
