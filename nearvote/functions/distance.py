@@ -23,6 +23,11 @@ def l2(a: str, b: str, dim: int) -> Column:
     return F.expr(l2_sql(a, b, dim))
 
 
+def l2_single(a: str, b: str, dim: int) -> Column:
+    """The same of floats, in single precision, added up dimension by dimension."""
+    return F.expr(" + ".join(f"({a}{j} - {b}{j}) * ({a}{j} - {b}{j})" for j in range(dim)))
+
+
 def box_bound(q: str, low: str, high: str, dim: int) -> Column:
     """The squared distance from q to the box; no point inside the box is nearer."""
     side = lambda j: f"greatest({_difference(low, q, j)}, 0L, {_difference(q, high, j)})"

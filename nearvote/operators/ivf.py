@@ -1,4 +1,7 @@
-"""Inverted-file search: clusters with bounding boxes, a probe, and an adaptive budget of further clusters."""
+"""Inverted-file search: clusters with bounding boxes, a probe, and an adaptive budget of further clusters.
+
+Search works on whole numbers, or, with `single`, on queries, vectors, centres and boxes of floats in single precision.
+"""
 
 from __future__ import annotations
 
@@ -12,15 +15,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nearvote.functions.constants import FAST, FULL, K
-from nearvote.functions.distance import box_bound, l2
+from nearvote.functions.distance import box_bound, l2, l2_single
 
 from . import kmeans
-from .knn import matrix
+from .knn import matrix, single, whole
 from .topk import gathered, top_k, votes
 
 NO_BOUND = 9_223_372_036_854_775_807
 
 
+def _kind(vectors: DataFrame) -> str:
+    """float if the vectors are floats, which is for single precision; else bigint, for whole numbers."""
+    return "float" if vectors.schema["v0"].dataType.typeName() == "float" else "bigint"
+
+
+def _top_kind(kind: str) -> str:
+    return f"array<struct<dist: {kind}, orig_id: bigint, label: int>>"
+
+
 def clusters_of(assigned: DataFrame, centres: kmeans.Centres) -> DataFrame:
     """cluster_id, n, c0..., lo0..., hi0...: a row for each centre; empty clusters have zeros."""
     dim = len(centres[0])
@@ -71,9 +83,9 @@ def _sent(clusters: DataFrame, dim: int) -> Broadcast:
     return clusters.sparkSession.sparkContext.broadcast((*ids, values[:, 0], values[:, 1], values[:, 2]))
 
 
-def _nearest_centres(points: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
+def _nearest_centres(points: np.ndarray, centres: np.ndarray, n: int, kind: str) -> np.ndarray:
     """For each point the places of its n nearest centres, the first ones of equals."""
-    dist = (points * points).sum(1)[:, None] + (centres * centres).sum(1) - 2.0 * (points @ centres.T)
+    dist = (single if kind == "float" else whole)(points, centres)
     return dist.argmin(1)[:, None] if n == 1 else np.argsort(dist, axis=1, kind="stable")[:, :n]
 
 
@@ -83,12 +95,12 @@ def _fields(queries: DataFrame, *more: T.StructField) -> T.StructType:
 
 def probes(queries: DataFrame, clusters: DataFrame, dim: int, n_probe: int = 1) -> DataFrame:
     """qid, q0..., cluster_id: the clusters with the nearest centres, the smallest number of equals; empty ones too."""
-    sent, rows, names = _sent(clusters, dim), _queries(queries, dim), [f"q{j}" for j in range(dim)]
+    sent, rows, names, kind = _sent(clusters, dim), _queries(queries, dim), [f"q{j}" for j in range(dim)], _kind(queries)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, _, centres, _, _ = sent.value
         for batch in batches:
-            near = _nearest_centres(matrix(batch, names), centres, n_probe)
+            near = _nearest_centres(matrix(batch, names), centres, n_probe, kind)
             row = np.repeat(np.arange(batch.num_rows), near.shape[1])
             yield pa.RecordBatch.from_arrays([*batch.take(pa.array(row)).columns, pa.array(ids[near.ravel()])], [*batch.schema.names, "cluster_id"])
 
@@ -99,7 +111,8 @@ def scan(chosen: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
     """qid, cluster_id, orig_id, is_fraud, dist (and bound, if chosen has it) for the vectors of chosen (qid, q0..., cluster_id)."""
     more = ["bound"] if "bound" in chosen.columns else []
     joined = vectors.join(_if_small(chosen), "cluster_id")
-    return joined.select("qid", "cluster_id", "orig_id", "is_fraud", *more, l2("q", "v", dim).alias("dist"))
+    dist = (l2_single if _kind(vectors) == "float" else l2)("q", "v", dim)
+    return joined.select("qid", "cluster_id", "orig_id", "is_fraud", *more, dist.alias("dist"))
 
 
 def candidates(queries: DataFrame, clusters: DataFrame, vectors: DataFrame, dim: int, k: int = K, n_probe: int = 1) -> DataFrame:
@@ -108,36 +121,40 @@ def candidates(queries: DataFrame, clusters: DataFrame, vectors: DataFrame, dim:
     Only clusters that can still matter become rows; boxes are looked at once the bound is known.
     """
     found = gathered(top_k(scan(probes(queries, clusters, dim, n_probe), vectors, dim), ["qid"], k), ["qid"])
-    bound = F.when(F.size("top") >= k, F.element_at("top", k)["dist"]).otherwise(F.lit(NO_BOUND))
-    rows = _queries(queries, dim).join(found.select("qid", bound.alias("bound")), "qid", "left").withColumn("bound", F.coalesce("bound", F.lit(NO_BOUND)))
+    kind = _kind(queries)
+    none, real = F.lit(NO_BOUND).cast(kind), np.float32 if kind == "float" else np.float64
+    bound = F.when(F.size("top") >= k, F.element_at("top", k)["dist"]).otherwise(none)
+    rows = _queries(queries, dim).join(found.select("qid", bound.alias("bound")), "qid", "left").withColumn("bound", F.coalesce("bound", none))
     sent, names, width = _sent(clusters, dim), [f"q{j}" for j in range(dim)], dim + 1
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, sizes, centres, low, high = sent.value
-        for whole in batches:
-            for begin in range(0, whole.num_rows, 256):
-                batch = whole.slice(begin, 256)
-                points = matrix(batch, names)
+        low, high = low.astype(real), high.astype(real)
+        for every in batches:
+            for begin in range(0, every.num_rows, 256):
+                batch = every.slice(begin, 256)
+                points = matrix(batch, names).astype(real)
                 probe = np.zeros((len(points), len(ids)), bool)
-                probe[np.arange(len(points))[:, None], _nearest_centres(points, centres, n_probe)] = True
-                lb = np.zeros(probe.shape)
+                probe[np.arange(len(points))[:, None], _nearest_centres(points, centres, n_probe, kind)] = True
+                lb = np.zeros(probe.shape, real)
                 for j in range(dim):
-                    lb += np.maximum(np.maximum(low[:, j] - points[:, j, None], points[:, j, None] - high[:, j]), 0.0) ** 2
-                lb = lb.astype(np.int64)
+                    gap = np.maximum(np.maximum(low[:, j] - points[:, j, None], points[:, j, None] - high[:, j]), real(0))
+                    lb += gap * gap
+                lb = lb if kind == "float" else lb.astype(np.int64)
                 row, c = np.nonzero(probe | ((sizes > 0) & (lb <= batch.column(width).to_numpy()[:, None])))
                 kept = batch.take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([*kept.columns[:width], pa.array(ids[c]), pa.array(sizes[c]), pa.array(lb[row, c]), kept.column(width), pa.array(probe[row, c])], [*batch.schema.names[:width], "cluster_id", "n", "lb", "bound", "is_probe"])
 
-    longs = [T.StructField(c, T.LongType()) for c in ("n", "lb", "bound")]
-    out = _fields(rows.drop("bound"), T.StructField("cluster_id", T.IntegerType()), *longs, T.StructField("is_probe", T.BooleanType()))
+    bounds = [T.StructField(c, T.FloatType() if kind == "float" else T.LongType()) for c in ("lb", "bound")]
+    out = _fields(rows.drop("bound"), T.StructField("cluster_id", T.IntegerType()), T.StructField("n", T.LongType()), *bounds, T.StructField("is_probe", T.BooleanType()))
     return rows.select("qid", *names, "bound").mapInArrow(work, out)
 
 
-def _merge(fast: int, full: int, k: int):
+def _merge(fast: int, full: int, k: int, kind: str):
     """One step of the search over clusters in order of their number; see `search`."""
 
     def step(s: Column, x: Column) -> Column:
-        worst = F.when(F.size(s["top"]) >= k, F.element_at(s["top"], -1)["dist"]).otherwise(F.lit(NO_BOUND))
+        worst = F.when(F.size(s["top"]) >= k, F.element_at(s["top"], -1)["dist"]).otherwise(F.lit(NO_BOUND).cast(kind))
         unsure = votes(s["top"]).isin(2, 3)
         limit = F.when(s["esc"], F.lit(full)).otherwise(F.lit(fast))
         over = (s["vis"] >= limit) & (s["esc"] | ~unsure | F.lit(full == 0)) & F.lit(fast > 0)
@@ -158,8 +175,9 @@ def visitable(queries: DataFrame, clusters: DataFrame, vectors: DataFrame, dim:
     near = candidates(queries, clusters, vectors, dim, k, n_probe)
     found = scan(near.select("qid", *(f"q{j}" for j in range(dim)), "cluster_id", "bound"), vectors, dim).where("dist <= bound")
     tops = gathered(top_k(found, ["qid", "cluster_id"], k), ["qid", "cluster_id"])
-    empty = F.array().cast("array<struct<dist: bigint, orig_id: bigint, label: int>>")
-    listed = near.select("qid", "cluster_id", "lb", "is_probe").join(tops, ["qid", "cluster_id"], "left").withColumn("top", F.coalesce(F.col("top").cast("array<struct<dist: bigint, orig_id: bigint, label: int>>"), empty))
+    listed_as = _top_kind(_kind(vectors))
+    empty = F.array().cast(listed_as)
+    listed = near.select("qid", "cluster_id", "lb", "is_probe").join(tops, ["qid", "cluster_id"], "left").withColumn("top", F.coalesce(F.col("top").cast(listed_as), empty))
     return listed.groupBy("qid").agg(
         F.slice(F.array_sort(F.flatten(F.collect_list(F.when(F.col("is_probe"), F.col("top"))))), 1, k).alias("probe_top"),
         F.count_if("is_probe").cast("int").alias("n_probe"),
@@ -170,7 +188,8 @@ def visitable(queries: DataFrame, clusters: DataFrame, vectors: DataFrame, dim:
 def fold(lists: DataFrame, fast: int = FAST, full: int = FULL, k: int = K) -> DataFrame:
     """qid, top, fraud_count, visited of `visitable` lists, under one budget; several budgets can share the lists."""
     start = F.struct(F.col("probe_top").alias("top"), F.col("n_probe").alias("vis"), F.lit(False).alias("esc"), F.lit(False).alias("stop"))
-    end = F.aggregate("others", start, _merge(fast, full, k))
+    kind = lists.schema["probe_top"].dataType.elementType["dist"].dataType.simpleString()
+    end = F.aggregate("others", start, _merge(fast, full, k, kind))
     done = lists.select("qid", end.alias("s"))
     return done.select("qid", F.col("s.top").alias("top"), votes(F.col("s.top")).alias("fraud_count"), F.col("s.vis").alias("visited"))
 

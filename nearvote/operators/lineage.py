@@ -7,11 +7,16 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Tables written so far, by application.
+_written: dict[str, list[str]] = {}
+
 
 def shared_path(spark: SparkSession, what: str) -> str:
-    """A new path under spark.checkpoint.dir, or under a local folder where that is unset."""
+    """A new path under spark.checkpoint.dir; where that is unset, on a local master only, under a temporary folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not (spark.sparkContext.master + "[").startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         spark.conf.set("nearvote.shared", spark.conf.get("nearvote.shared", None) or tempfile.mkdtemp(prefix="nearvote-"))
         folder = spark.conf.get("nearvote.shared")
     return f"{folder.rstrip('/')}/{what}-{uuid.uuid4().hex}"
@@ -20,4 +25,14 @@ def shared_path(spark: SparkSession, what: str) -> str:
 def materialise(df: DataFrame, what: str) -> DataFrame:
     path = shared_path(df.sparkSession, what)
     df.write.parquet(path)
+    _written.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession) -> int:
+    """Deletes the tables that `materialise` wrote for this application; for when no result made from them is used any more."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    return len(paths)

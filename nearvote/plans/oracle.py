@@ -131,8 +131,8 @@ clusters AS MATERIALIZED (SELECT c.cluster_id, coalesce(n, 0) AS n, {cols('c', D
     FROM c{n_rounds} c LEFT JOIN boxes USING (cluster_id))"""
 
 
-def probe(index_sql: str, n_probe: int = 1) -> str:
-    return index_sql + f""", visits AS MATERIALIZED (SELECT q.orig_id AS qid, c.cluster_id, c.n, {l2('q.v', 'c.c', DIM)} AS centre_dist, {box(DIM)} AS lb FROM queries q CROSS JOIN clusters c),
+def probe(index_sql: str, n_probe: int = 1, dist=l2, bound=box, queries: str = "queries", clusters: str = "clusters") -> str:
+    return index_sql + f""", visits AS MATERIALIZED (SELECT q.orig_id AS qid, c.cluster_id, c.n, {dist('q.v', 'c.c', DIM)} AS centre_dist, {bound(DIM)} AS lb FROM {queries} q CROSS JOIN {clusters} c),
 probe AS MATERIALIZED (SELECT qid, cluster_id FROM visits QUALIFY row_number() OVER (PARTITION BY qid ORDER BY centre_dist, cluster_id) <= {n_probe})"""
 
 
@@ -144,12 +144,12 @@ NEAR = SCAN + """, bound AS (SELECT p.qid, p.cluster_id AS probe_id, coalesce(ma
 near AS MATERIALIZED (SELECT v.qid, v.cluster_id, v.n, v.lb, b.bound, v.cluster_id = b.probe_id AS is_probe FROM visits v JOIN bound b USING (qid) WHERE v.cluster_id = b.probe_id OR (v.n > 0 AND v.lb <= b.bound))"""
 
 
-def search(fast: int, full: int, name: str) -> str:
+def search(fast: int, full: int, name: str, dist=l2, queries: str = "queries", vectors: str = "vectors") -> str:
     """The sequential search, one cluster a step, over all clusters in order of their number."""
     return f""", all_{name} AS (SELECT x.qid, x.cluster_id, x.lb, row_number() OVER (PARTITION BY x.qid ORDER BY x.cluster_id) AS step
     FROM visits x ANTI JOIN probe p ON p.qid = x.qid AND p.cluster_id = x.cluster_id WHERE x.n > 0
 ), own_{name} AS (SELECT qid, cluster_id, list(struct_pack(dist := dist, orig_id := orig_id, label := CAST(is_fraud AS INT)) ORDER BY dist, orig_id) AS top FROM (
-        SELECT q.orig_id AS qid, v.cluster_id, v.orig_id, v.is_fraud, {l2('q.v', 'v.v', DIM)} AS dist FROM queries q CROSS JOIN vectors v
+        SELECT q.orig_id AS qid, v.cluster_id, v.orig_id, v.is_fraud, {dist('q.v', 'v.v', DIM)} AS dist FROM {queries} q CROSS JOIN {vectors} v
         QUALIFY row_number() OVER (PARTITION BY q.orig_id, v.cluster_id ORDER BY dist, v.orig_id) <= 5) GROUP BY qid, cluster_id
 ), steps_{name} AS MATERIALIZED (SELECT a.qid, a.step, a.lb, o.top FROM all_{name} a JOIN own_{name} o USING (qid, cluster_id)
 ), {name} AS (
@@ -215,13 +215,26 @@ def chosen(n: int, dim: int) -> str:
     return " UNION ALL ".join(f"SELECT {k} AS cluster_id, {', '.join(f'CAST(v{j} AS INT) AS c{j}' for j in range(dim))} FROM points JOIN at{k} USING (i)" for k in range(n))
 
 
-def single(prefix: str, j: int) -> str:
-    return f"(CAST({prefix}{j} AS FLOAT) * CAST(0.0001 AS FLOAT))"
+def single(x: str) -> str:
+    return f"(CAST({x} AS FLOAT) * CAST(0.0001 AS FLOAT))"
 
 
-def l2_f32(dim: int) -> str:
-    gap = lambda j: f"({single('q.v', j)} - {single('r.v', j)})"
-    return " + ".join(f"{gap(j)} * {gap(j)}" for j in range(dim))
+def floats(prefix: str, of: str) -> str:
+    return ", ".join(f"{single(f'{of}.{prefix}{j}')} AS {prefix}{j}" for j in range(DIM))
+
+
+FLOATS = f""", fq AS MATERIALIZED (SELECT orig_id, is_fraud, {floats('v', 'queries')} FROM queries), fr AS MATERIALIZED (SELECT orig_id, is_fraud, {floats('v', 'refs')} FROM refs)"""
+FLOAT_INDEX = FLOATS + f""", fv AS MATERIALIZED (SELECT orig_id, is_fraud, cluster_id, {floats('v', 'vectors')} FROM vectors),
+fc AS MATERIALIZED (SELECT cluster_id, n, {floats('c', 'clusters')}, {floats('lo', 'clusters')}, {floats('hi', 'clusters')} FROM clusters)"""
+
+
+def l2_f32(a: str, b: str, dim: int) -> str:
+    return " + ".join(f"({a}{j} - {b}{j}) * ({a}{j} - {b}{j})" for j in range(dim))
+
+
+def box_f32(dim: int) -> str:
+    side = lambda j: f"greatest(c.lo{j} - q.v{j}, q.v{j} - c.hi{j}, CAST(0 AS FLOAT))"
+    return " + ".join(f"{side(j)} * {side(j)}" for j in range(dim))
 
 
 REFERENCES = [[((i + 1) * (j + 1) * 137 % 4000) / 4000 for j in range(DIM)] for i in range(16)]
@@ -276,9 +289,13 @@ SQL = {
     "q41_refs_reader": "SELECT CAST(i AS BIGINT) AS orig_id, i % 2 = 1 AS is_fraud, " + ", ".join(f"{q(f'CAST(x[{j + 1}] AS FLOAT)')} AS v{j}" for j in range(DIM)) + " FROM (VALUES " + ", ".join(f"({i}, {x})" for i, x in enumerate(REFERENCES)) + ") t(i, x)",
     "q43_kmeans_mllib": f"SELECT {NLIST64} AS n_clusters, true AS no_worse",
     "q45_kmeans_plus_plus": with_(SETS64 + plus_plus(8, DIM64, 42), chosen(8, DIM64)),
-    "q46_exact_knn14_f32": with_(SETS14, f"SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY dist, orig_id) AS INT) AS rank FROM (SELECT q.orig_id AS qid, r.orig_id, r.is_fraud, {l2_f32(DIM)} AS dist FROM queries q CROSS JOIN refs r)) WHERE rank <= 5"),
+    "q46_exact_knn14_f32": with_(SETS14 + FLOATS, f"SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY dist, orig_id) AS INT) AS rank FROM (SELECT q.orig_id AS qid, r.orig_id, r.is_fraud, {l2_f32('q.v', 'r.v', DIM)} AS dist FROM fq q CROSS JOIN fr r)) WHERE rank <= 5"),
     "q47_recall_sampled": with_((PROBE + search(FAST, FULL, "s") + knn(DIM) + compared("s")).replace(QUERIES14, DRAWN14), report("s", "sampled"), True),
     "q48_ivf_256_adaptive_8_24": with_(probe(index(MANY14, 1)) + search(OWN_FAST, OWN_FULL, "s"), "SELECT qid, fraud_count, visited FROM end_s", True),
     "q49_ivf_three_probes": with_(probe(INDEX, 3) + search(4, FULL, "s"), "SELECT qid, fraud_count, visited FROM end_s", True),
+    "q50_ivf_f32_adaptive": with_(
+        probe(INDEX + FLOAT_INDEX, 1, l2_f32, box_f32, "fq", "fc") + search(FAST, FULL, "s", l2_f32, "fq", "fv"),
+        "SELECT qid, fraud_count, visited, array_to_string(list_transform(top, lambda t: t.orig_id), ',') AS ids FROM end_s", True,
+    ),
     "q42_index_roundtrip": with_(INDEX, f"SELECT cluster_id, orig_id, is_fraud, {cols('v', DIM)} FROM vectors"),
 }

@@ -304,10 +304,13 @@ def q45_kmeans_plus_plus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _centres(spark, kmeans.plus_plus(fx.vec64(spark, sf_dir), 8, fx.DIM64, kmeans.drawn(42)))
 
 
+def _single(df: DataFrame, prefixes: str = "v") -> DataFrame:
+    """df with its quantised columns as floats."""
+    return df.withColumns({f"{p}{j}": dequantise(F.col(f"{p}{j}")) for p in prefixes.split() for j in range(DIM)})
+
+
 def q46_exact_knn14_f32(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = [f"v{j}" for j in range(DIM)]
-    single = lambda df: df.select("orig_id", "is_fraud", *(dequantise(F.col(c)).alias(c) for c in names))
-    return exact_knn_f32(single(fx.queries14(spark, sf_dir)), single(fx.vec14(spark, sf_dir)), DIM)
+    return exact_knn_f32(_single(fx.queries14(spark, sf_dir)), _single(fx.vec14(spark, sf_dir)), DIM)
 
 
 def q47_recall_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -327,4 +330,11 @@ def q49_ivf_three_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ivf.search(fx.queries14(spark, sf_dir), clusters, vectors, DIM, 4, fx.FULL, n_probe=3).select("qid", "fraud_count", "visited")
 
 
+def q50_ivf_f32_adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The budgeted search in single precision, over centres and boxes of floats."""
+    clusters, vectors = fx.index14(spark, sf_dir)
+    found = ivf.search(_single(fx.queries14(spark, sf_dir)), _single(clusters, "c lo hi"), _single(vectors), DIM, fx.FAST, fx.FULL)
+    return found.select("qid", "fraud_count", "visited", F.transform("top", lambda x: x["orig_id"]).alias("ids")).withColumn("ids", F.array_join("ids", ","))
+
+
 QUERIES = {name: f for name, f in list(globals().items()) if name[:1] == "q" and name[1:3].isdigit()}

@@ -33,3 +33,16 @@ def load_index(spark: SparkSession, path: str, dim: int) -> tuple[DataFrame, Dat
     if clusters.count() != meta["nlist"] or vectors.count() != meta["n_vectors"]:
         raise ValueError("the index is not complete")
     return clusters, vectors
+
+
+def prewarmed(clusters: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The tables, cached on the executors and read once, so that the first request finds them there."""
+    out = clusters.persist(), vectors.persist()
+    for df in out:
+        df.count()
+    return out
+
+
+def ready(clusters: DataFrame, vectors: DataFrame) -> bool:
+    """Whether both tables are cached, which is when requests may be sent."""
+    return all(df.storageLevel.useMemory and df.is_cached for df in (clusters, vectors))
