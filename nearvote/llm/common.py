@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,6 +73,24 @@ def discard(spark: SparkSession) -> int:
     return len(paths)
 
 
+#: Rows with whole texts that a worker looks at together.
+TEXT_ROWS = 500
+
+
+def lean(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], rows: int = TEXT_ROWS) -> Callable:
+    """work over slices of at most so many rows, giving memory back at the end: workers live on, for other tasks and other work."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batch.slice(begin, rows) for batch in batches for begin in range(0, batch.num_rows, rows))
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # only where the C library is glibc
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return run
+
+
 @contextlib.contextmanager
 def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
     """Within it, actions send at most so many rows at once to Python: for rows that hold whole documents."""

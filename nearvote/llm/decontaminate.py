@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import sealed, slim
+from .common import lean, sealed, slim
 from .text import ALNUM, Words, chunks
 
 #: Words of a test item in a row that make a hit.
@@ -252,7 +252,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col:
                 out = pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, *(f.name for f in added)])
                 yield out if all_rows else out.filter(pa.array([bool(s) for s in spans], pa.bool_()))
 
-        return rows.mapInArrow(search, T.StructType([*rows.schema.fields, *added]))
+        return rows.mapInArrow(lean(search), T.StructType([*rows.schema.fields, *added]))
 
     first, *others = _passes(benchmark, window, item_col, item_text_col)
     out = searched(docs, first, at, True)
@@ -307,7 +307,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
                     rest = [pa.array([m[1] for m in found], pa.string()), *(pa.array([m[k] for m in found], pa.int64()) for k in (2, 3, 4))]
                     yield pa.RecordBatch.from_arrays([ids, *rest], names)
 
-        part = slim(docs).mapInArrow(search, schema)
+        part = slim(docs).mapInArrow(lean(search), schema)
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, cut, join_counted, sealed, slim, text_column
+from .common import TEXT_ROWS, batches_of, cut, join_counted, lean, sealed, slim, text_column
 from .text import ALNUM, Words, chunks, mix, powers, rolling
 
 SHINGLE, SKETCHES, PICKS = 5, 12, 2
@@ -54,8 +54,8 @@ BLOCK = 2048
 CELLS = 16
 #: Cells in which labels of rehashed nodes are counted, as a power of two: 8 MB. The counts only order labels; any order is exact.
 COUNT_BITS, COUNT_BLOCK = 21, 15
-#: Rows of a batch with one whole document each, with two, and with the bit maps of one.
-TEXT_ROWS, PAIR_ROWS, CELL_ROWS = 1000, 200, 4000
+#: Rows of a batch with two whole documents each, and with the bit maps of one.
+PAIR_ROWS, CELL_ROWS = 200, 4000
 _ODD = np.random.default_rng(8).integers(0, 1 << 63, (2, SKETCHES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASES = (0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 _LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -178,7 +178,7 @@ def _sketched(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(s.names(), pa.binary()), pa.array(s.counts, pa.int32()), lists], ["doc_id", "th", "node", "size", "sketches"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(work, f"doc_id {kind}, th bigint, node binary, size int, sketches array<bigint>")
+    return docs.mapInArrow(lean(work), f"doc_id {kind}, th bigint, node binary, size int, sketches array<bigint>")
 
 
 def _labelled(docs: DataFrame) -> DataFrame:
@@ -193,7 +193,7 @@ def _labelled(docs: DataFrame) -> DataFrame:
                 cells = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * CELLS, pa.int32()), pa.array(s.cells().ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(s.counts, pa.int32()), lists, cells], ["id", "size", "labels", "cells"])
 
-    return docs.mapInArrow(work, "id bigint, size int, labels array<bigint>, cells array<bigint>")
+    return docs.mapInArrow(lean(work), "id bigint, size int, labels array<bigint>, cells array<bigint>")
 
 
 def _common(n: Column, m: Column, a: Column, b: Column) -> Column:
@@ -223,7 +223,7 @@ def _verified(pairs: DataFrame, labels: DataFrame, at_least: float) -> DataFrame
             keep = [similarity(la[i].values.to_numpy(), lb[i].values.to_numpy(), at_least) >= at_least for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
 
-    return both.mapInArrow(align, "a bigint, b bigint")
+    return both.mapInArrow(lean(align), "a bigint, b bigint")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -290,7 +290,7 @@ def _counts(labels: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "n": pa.array([np.minimum(total, 0xFFFFFFFF).astype("<u4").tobytes()], pa.binary())})
 
     out = np.zeros(1 << COUNT_BITS, np.uint32)
-    merged = labels.select("labels").mapInArrow(count, "block int, cells binary, n binary").repartition("block").mapInArrow(add_up, "block int, n binary")
+    merged = labels.select("labels").mapInArrow(lean(count), "block int, cells binary, n binary").repartition("block").mapInArrow(add_up, "block int, n binary")
     for r in merged.collect():  # a fixed number of cells
         out[r["block"] * size : (r["block"] + 1) * size] = np.frombuffer(r["n"], "<u4")
     return out
@@ -322,7 +322,7 @@ def _rehashed(labels: DataFrame, at_least: float) -> DataFrame:
                 rows = pa.array(np.concatenate(row), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(bucket)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.concatenate(place), pa.int32()), pa.array(np.concatenate(short)), cells.take(rows)], ["bucket", "id", "size", "place", "short", "cells"])
 
-    return labels.select("id", "size", "labels", "cells").mapInArrow(work, "bucket bigint, id bigint, size int, place int, short boolean, cells array<bigint>")
+    return labels.select("id", "size", "labels", "cells").mapInArrow(lean(work), "bucket bigint, id bigint, size int, place int, short boolean, cells array<bigint>")
 
 
 def _met(rows: DataFrame, at_least: float) -> DataFrame:
@@ -380,7 +380,7 @@ def _met(rows: DataFrame, at_least: float) -> DataFrame:
         if held:
             yield from done(len(held[0]))
 
-    return dealt.repartition("unit").sortWithinPartitions("unit").mapInArrow(work, "a bigint, b bigint")
+    return dealt.repartition("unit").sortWithinPartitions("unit").mapInArrow(lean(work, CELL_ROWS), "a bigint, b bigint")
 
 
 def _find(nodes: DataFrame, labels_of, at_least: float) -> Classes:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slim
+from .common import cut, lean, slim
 
 #: Words that a worker remembers.
 MOST_WORDS = 400_000
@@ -183,7 +183,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 0)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int64())), *ints], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(tokenise, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return docs.mapInArrow(lean(tokenise), f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
 def pack(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 0, most_docs: int | None = MOST_DOCS, attention: int | None = None, weights: tuple[float, float, float] = WEIGHTS) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import slim
+from .common import lean, slim
 
 KINDS = ["email", "ip", "card", "phone"]
 LABELS = ["none", *KINDS]
@@ -378,7 +378,7 @@ def find(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *counts, digest, every, added], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return slim(docs).mapInArrow(work, f"doc_id {kind}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_added bigint")
+    return slim(docs).mapInArrow(lean(work), f"doc_id {kind}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_added bigint")
 
 
 def mask(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -402,4 +402,4 @@ def mask(docs: DataFrame, text_col: str = "text") -> DataFrame:
             columns[at] = pa.array([masked(t, field) for t in columns[at].to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
-    return docs.mapInArrow(work, T.StructType(docs.schema.fields))
+    return docs.mapInArrow(lean(work), T.StructType(docs.schema.fields))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slim, text_column
+from .common import lean, slim, text_column
 from .text import SPACED, Words, chunks, mix
 
 MOST_ROWS = 20_000
@@ -190,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, label: str = "quali
             rows = np.concatenate([features(texts[a:b]) for a, b in chunks(texts)]) if texts else np.zeros((0, len(FEATURES)))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(2).cast(pa.int32()), *(pa.array(rows[:, j]) for j in range(rows.shape[1]))], ["doc_id", "y", *FEATURES])
 
-    found = labelled(docs, labels, label, allowed, most).mapInArrow(work, "doc_id string, y int, " + ", ".join(f"{f} double" for f in FEATURES)).toPandas()
+    found = labelled(docs, labels, label, allowed, most).mapInArrow(lean(work), "doc_id string, y int, " + ", ".join(f"{f} double" for f in FEATURES)).toPandas()
     found = found.sort_values(["doc_id", *FEATURES]).drop_duplicates("doc_id")[:most]
     return AdditiveModel(found[FEATURES].to_numpy(float), (found["y"].to_numpy(float) > 0).astype(float))
 
@@ -206,5 +206,5 @@ def scored(docs: DataFrame, model: AdditiveModel, threshold: float, held_out: Co
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(parts) if parts else np.zeros(0))], ["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = slim(docs).mapInArrow(work, f"doc_id {kind}, score double")
+    out = slim(docs).mapInArrow(lean(work), f"doc_id {kind}, score double")
     return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, join_counted, sealed, slim, text_column
+from .common import cut, join_counted, lean, sealed, slim, text_column
 from .text import SPACED, Words, chunks, mix, rolling
 
 #: Words of a gram that can be an anchor, for windows long enough.
@@ -38,8 +38,6 @@ SEGMENT = 64
 #: The sketch: rows, cells in a block, and the largest number of cells as a power of two (128 MB a row as bits, which every worker
 #: holds). It is sized by the bytes of all texts; from 27 GB on it stays as it is and filters less, with the same results.
 DEPTH, BLOCK_BITS, MOST_BITS = 2, 16, 30
-#: Rows with whole texts that are rebuilt at once.
-ROWS = 500
 #: Bytes of text for each cell; an anchor comes every hundred bytes or so.
 BYTES_A_CELL = 25
 _ROWS = np.array([0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F], np.uint64)
@@ -108,7 +106,7 @@ def sketch(docs: DataFrame, window: int, bits: int, text_col: str = "text") -> l
         if key is not None:
             yield done()
 
-    parts = docs.select(text_col).mapInArrow(count, "row int, block int, cells binary, counts binary")
+    parts = docs.select(text_col).mapInArrow(lean(count), "row int, block int, cells binary, counts binary")
     merged = parts.repartition("row", "block").sortWithinPartitions("row", "block").mapInArrow(add, "row int, block int, repeated binary")
     out = [np.zeros(1 << (bits - 3), np.uint8) for _ in range(DEPTH)]
     size = 1 << (BLOCK_BITS - 3)
@@ -156,7 +154,7 @@ def _segments(docs: DataFrame, window: int, bits: int, repeated: list[np.ndarray
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(pos, pa.int32()), pa.array(w.anchor[start].view(np.int64)), pa.array(name), windows], ["doc_id", "th", "pos", "v", "s", "windows"])
 
     schema = T.StructType([docs.schema["doc_id"], docs.schema["th"], T.StructField("pos", T.IntegerType()), T.StructField("v", T.LongType()), T.StructField("s", T.LongType()), T.StructField("windows", T.ArrayType(T.LongType()))])
-    return docs.mapInArrow(pick, schema)
+    return docs.mapInArrow(lean(pick), schema)
 
 
 def _removed(docs: DataFrame, window: int) -> DataFrame:
@@ -219,22 +217,20 @@ def _cleaned(docs: DataFrame, window: int, id_col: str, text_col: str, digest: b
         return n_words, n_removed, kept
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for begin in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(begin, ROWS)
-                n_words, n_removed, kept = rebuilt(batch)
-                rest = [c for k, c in enumerate(batch.columns[:-1]) if k != at]
-                if digest:
-                    yield pa.RecordBatch.from_arrays([*rest, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], schema.names)
-                else:
-                    yield pa.RecordBatch.from_arrays([*rest[:at], pa.array(kept, pa.string()), *rest[at:]], schema.names)
+        for batch in batches:
+            n_words, n_removed, kept = rebuilt(batch)
+            rest = [c for k, c in enumerate(batch.columns[:-1]) if k != at]
+            if digest:
+                yield pa.RecordBatch.from_arrays([*rest, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], schema.names)
+            else:
+                yield pa.RecordBatch.from_arrays([*rest[:at], pa.array(kept, pa.string()), *rest[at:]], schema.names)
 
     if digest:
         fields = [f for f in docs.schema.fields if f.name != text_col]
         schema = T.StructType([*fields, T.StructField("__n_words", T.LongType()), T.StructField("__n_removed", T.LongType()), T.StructField("__sha256", T.StringType())])
     else:
         schema = docs.schema
-    return both.mapInArrow(rebuild, schema)
+    return both.mapInArrow(lean(rebuild), schema)
 
 
 def report(docs: DataFrame, window: int = 50) -> DataFrame:

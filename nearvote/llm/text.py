@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Bytes of text handled at once; a single longer text is handled alone.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
@@ -57,7 +57,7 @@ def powers(base: int, n: int) -> np.ndarray:
     """base to the powers 0 to n-1, modulo 2**64."""
     got = _cache.get(base)
     if got is None or len(got) < n:
-        got = _cache[base] = _powers(base, max(n, CHUNK_BYTES + (1 << 16)))
+        got = _cache[base] = _powers(base, 1 << max(16, (n - 1).bit_length()))
         if len(got) > 4 * CHUNK_BYTES:  # of one very long text: not worth keeping
             _cache.pop(base)
     return got[:n]

@@ -28,12 +28,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches_of, slim
+from .common import batches_of, lean, slim
 from .quality import labelled
-from .text import ALNUM, CHUNK_BYTES, Words, chunks, mix, powers
+from .text import ALNUM, Words, chunks, mix, powers
 
 MOST_ROWS, MOST_BYTES = 5_000, 24 << 20
 WINDOW, STRIDE = 32, 16
+#: Windows that go through the network together, and bytes of training texts kept as one part.
+TOGETHER, PART_BYTES = 4096, 1 << 19
 BITS, WIDTH, HIDDEN, GRAM = 17, 4, 8, 5
 EPOCHS, BATCH, RATE, TABLE_RATE = 4, 256, 0.01, 0.1
 _MASK = np.uint64((1 << BITS) - 1)
@@ -201,7 +203,7 @@ class Network:
         v = Vocabulary(texts)
         windows, text = v.windows()
         x, _ = self.inputs(v)
-        parts = [self.forward(x, windows[i : i + 8192])[0] for i in range(0, len(windows), 8192)]
+        parts = [self.forward(x, windows[i : i + TOGETHER])[0] for i in range(0, len(windows), TOGETHER)]
         return (np.concatenate(parts) if parts else np.zeros(0, np.float32)), windows, text, v
 
     def score(self, texts: list[str | None]) -> np.ndarray:
@@ -233,7 +235,7 @@ def train(texts: list[str], y: np.ndarray, seed: int = 3) -> Network:
     share = float((y.sum() + 0.5) / (len(y) + 1))
     rng = np.random.default_rng(seed)
     # texts are kept as vocabularies of chunks, each with its range of texts
-    parts = [(a, b, Vocabulary(texts[a:b])) for a, b in chunks(texts, CHUNK_BYTES // 2)]
+    parts = [(a, b, Vocabulary(texts[a:b])) for a, b in chunks(texts, PART_BYTES)]
     words, grams = [], []
     for _, _, v in parts:
         for i in range(len(v.words.counts)):
@@ -263,7 +265,7 @@ def train(texts: list[str], y: np.ndarray, seed: int = 3) -> Network:
             if step == 0:  # nothing is learned yet: the worst window is that of the strongest evidence
                 scores = x[windows, 0].max(1) + x[windows, WIDTH].max(1)
             else:
-                scores = np.concatenate([net.forward(x, windows[i : i + 8192])[0] for i in range(0, len(windows), 8192)])
+                scores = np.concatenate([net.forward(x, windows[i : i + TOGETHER])[0] for i in range(0, len(windows), TOGETHER)])
             order = np.lexsort((-scores, text))
             worst = order[np.flatnonzero(np.concatenate([[True], text[order[1:]] != text[order[:-1]]]))]
             calm = np.flatnonzero(y[a:b][text] == 0)
@@ -309,7 +311,7 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, label: str = "toxic
     found = labelled(docs, labels, label, allowed, most).select(F.col("doc_id").cast("string").alias("doc_id"), "text", "y")
     # a row for each of `most` at most, so one task is enough
     with batches_of(docs.sparkSession, 200):
-        got = found.repartition(1).sortWithinPartitions("doc_id", "text", "y").mapInArrow(learn, "network binary").collect()
+        got = found.repartition(1).sortWithinPartitions("doc_id", "text", "y").mapInArrow(lean(learn), "network binary").collect()
     return pickle.loads(got[0][0]) if got else Network.constantly(0.5)
 
 
@@ -327,7 +329,7 @@ def scored(docs: DataFrame, net: Network, threshold: float, held_out: Column) ->
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(sent.value, batch.column(1).to_pylist()))], ["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = slim(docs).mapInArrow(work, f"doc_id {kind}, score double")
+    out = slim(docs).mapInArrow(lean(work), f"doc_id {kind}, score double")
     return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -340,4 +342,4 @@ def remove_toxic(docs: DataFrame, net: Network, threshold: float, text_col: str
         for batch in batches:
             yield batch.filter(pa.array(_scores(sent.value, batch.column(at).to_pylist()) < threshold))
 
-    return docs.mapInArrow(work, T.StructType(docs.schema.fields))
+    return docs.mapInArrow(lean(work), T.StructType(docs.schema.fields))
