@@ -18,10 +18,12 @@ from nearvote.functions.constants import FAST, FULL, K
 from nearvote.functions.distance import box_bound, l2, l2_single
 
 from . import kmeans
-from .knn import matrix, single, whole
+from .knn import Nearest, matrix, single, whole
 from .topk import gathered, top_k, votes
 
 NO_BOUND = 9_223_372_036_854_775_807
+#: Pairs of a query and a cluster that are sent to every task: some 30 MB.
+MOST_SENT = 200_000
 
 
 def _kind(vectors: DataFrame) -> str:
@@ -107,12 +109,44 @@ def probes(queries: DataFrame, clusters: DataFrame, dim: int, n_probe: int = 1)
     return rows.mapInArrow(work, _fields(rows, T.StructField("cluster_id", T.IntegerType())))
 
 
-def scan(chosen: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
-    """qid, cluster_id, orig_id, is_fraud, dist (and bound, if chosen has it) for the vectors of chosen (qid, q0..., cluster_id)."""
-    more = ["bound"] if "bound" in chosen.columns else []
-    joined = vectors.join(_if_small(chosen), "cluster_id")
-    dist = (l2_single if _kind(vectors) == "float" else l2)("q", "v", dim)
-    return joined.select("qid", "cluster_id", "orig_id", "is_fraud", *more, dist.alias("dist"))
+def scan(chosen: DataFrame, vectors: DataFrame, dim: int, k: int = K) -> DataFrame:
+    """qid, cluster_id, orig_id, is_fraud, dist for chosen (qid, q0..., cluster_id and perhaps bound): vectors of the cluster, within the bound.
+
+    All that can be among the k nearest of a query and cluster are there. Up to MOST_SENT rows of chosen go to where the vectors are, and a task
+    returns its k nearest; more are joined.
+    """
+    kind, names, bounded = _kind(vectors), [f"q{j}" for j in range(dim)], "bound" in chosen.columns
+    columns = ["qid", "cluster_id", *names, *(["bound"] if bounded else [])]
+    rows = chosen.select(columns).limit(MOST_SENT + 1).toArrow()
+    if rows.num_rows > MOST_SENT:
+        joined = vectors.join(_if_small(chosen), "cluster_id")
+        dist = (l2_single if kind == "float" else l2)("q", "v", dim)
+        pairs = joined.select("qid", "cluster_id", "orig_id", "is_fraud", *(["bound"] if bounded else []), dist.alias("dist"))
+        return pairs.where("dist <= bound").drop("bound") if bounded else pairs
+    batch = rows.combine_chunks()
+    points = np.column_stack([batch.column(c).to_numpy().astype(np.float64) for c in names]) if rows.num_rows else np.zeros((0, dim))
+    limit = batch.column("bound").to_numpy() if bounded else np.full(rows.num_rows, np.inf)
+    sent = vectors.sparkSession.sparkContext.broadcast((batch.column("qid").to_numpy(), batch.column("cluster_id").to_numpy(), points, limit))
+    measure, fields = single if kind == "float" else whole, [f"v{j}" for j in range(dim)]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qids, of, points, limit = sent.value
+        asked = {c: np.flatnonzero(of == c) for c in np.unique(of).tolist()}
+        best: dict[int, Nearest] = {}
+        for batch in batches:
+            clusters = batch.column(0).to_numpy()
+            ids, labels, values = batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False).astype(bool), matrix(batch, fields)
+            for c in np.unique(clusters).tolist():
+                if c in asked:
+                    if c not in best:
+                        best[c] = Nearest(points[asked[c]], k, measure, limit[asked[c]])
+                    at = np.flatnonzero(clusters == c)
+                    best[c].add(ids[at], labels[at], values[at])
+        for c, near in best.items():
+            qid, orig_id, label, dist = near.found(qids[asked[c]], kind)
+            yield pa.RecordBatch.from_arrays([pa.array(qid), pa.array(np.full(len(qid), c, np.int32)), pa.array(orig_id), pa.array(label), pa.array(dist)], ["qid", "cluster_id", "orig_id", "is_fraud", "dist"])
+
+    return vectors.select("cluster_id", "orig_id", "is_fraud", *fields).mapInArrow(work, f"qid bigint, cluster_id int, orig_id bigint, is_fraud boolean, dist {kind}")
 
 
 def candidates(queries: DataFrame, clusters: DataFrame, vectors: DataFrame, dim: int, k: int = K, n_probe: int = 1) -> DataFrame:
@@ -120,7 +154,7 @@ def candidates(queries: DataFrame, clusters: DataFrame, vectors: DataFrame, dim:
 
     Only clusters that can still matter become rows; boxes are looked at once the bound is known.
     """
-    found = gathered(top_k(scan(probes(queries, clusters, dim, n_probe), vectors, dim), ["qid"], k), ["qid"])
+    found = gathered(top_k(scan(probes(queries, clusters, dim, n_probe), vectors, dim, k), ["qid"], k), ["qid"])
     kind = _kind(queries)
     none, real = F.lit(NO_BOUND).cast(kind), np.float32 if kind == "float" else np.float64
     bound = F.when(F.size("top") >= k, F.element_at("top", k)["dist"]).otherwise(none)
@@ -173,7 +207,7 @@ def _merge(fast: int, full: int, k: int, kind: str):
 def visitable(queries: DataFrame, clusters: DataFrame, vectors: DataFrame, dim: int, k: int = K, n_probe: int = 1) -> DataFrame:
     """qid, probe_top, n_probe, others (cluster_id, lb, top): what any search of these queries may visit; see `fold`."""
     near = candidates(queries, clusters, vectors, dim, k, n_probe)
-    found = scan(near.select("qid", *(f"q{j}" for j in range(dim)), "cluster_id", "bound"), vectors, dim).where("dist <= bound")
+    found = scan(near.select("qid", *(f"q{j}" for j in range(dim)), "cluster_id", "bound"), vectors, dim, k)
     tops = gathered(top_k(found, ["qid", "cluster_id"], k), ["qid", "cluster_id"])
     listed_as = _top_kind(_kind(vectors))
     empty = F.array().cast(listed_as)

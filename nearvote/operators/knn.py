@@ -64,10 +64,11 @@ def single(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
 
 
 class Nearest:
-    """The k nearest so far of each query, in the order of (distance, identifier)."""
+    """The k nearest so far of each query, in the order of (distance, identifier), and within its limit if there is one."""
 
-    def __init__(self, queries: np.ndarray, k: int, measure=whole):
+    def __init__(self, queries: np.ndarray, k: int, measure=whole, limit: np.ndarray | None = None):
         self.queries, self.k, self.measure = queries, k, measure
+        self.limit = np.full(len(queries), np.inf) if limit is None else limit.astype(np.float64)
         self.dist = np.full((len(queries), k), np.inf)
         self.ids = np.full((len(queries), k), _NONE)
         self.labels = np.zeros((len(queries), k), bool)
@@ -79,9 +80,14 @@ class Nearest:
             for b in range(0, len(self.queries), cols):
                 self._merge(b, self.measure(self.queries[b : b + cols], v), i, f)
 
+    def found(self, names: np.ndarray, kind: str) -> tuple[np.ndarray, ...]:
+        """Columns name of the query, identifier, label, distance."""
+        q, r = np.nonzero(self.ids != _NONE)
+        return names[q], self.ids[q, r], self.labels[q, r], self.dist[q, r].astype(np.int64 if kind == "bigint" else np.float32)
+
     def _merge(self, first: int, dist: np.ndarray, ids: np.ndarray, labels: np.ndarray) -> None:
         part = slice(first, first + len(dist))
-        bound = self.dist[part, -1]
+        bound = np.minimum(self.dist[part, -1], self.limit[part])
         if dist.shape[1] > self.k and np.isinf(bound).any():
             bound = np.minimum(bound, np.partition(dist, self.k - 1, axis=1)[:, self.k - 1])
         q, at = np.nonzero(dist <= bound[:, None])
@@ -113,9 +119,7 @@ def _nearest(queries: DataFrame, vectors: DataFrame, dim: int, k: int, measure,
             best = Nearest(points, k, measure)
             for batch in batches:
                 best.add(batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False).astype(bool), matrix(batch, names))
-            q, r = np.nonzero(best.ids != _NONE)
-            dist = best.dist[q, r].astype(np.int64 if kind == "bigint" else np.float32)
-            yield pa.RecordBatch.from_arrays([pa.array(qids[q]), pa.array(best.ids[q, r]), pa.array(best.labels[q, r]), pa.array(dist)], ["qid", "orig_id", "is_fraud", "dist"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in best.found(qids, kind)], ["qid", "orig_id", "is_fraud", "dist"])
 
         return vectors.select("orig_id", "is_fraud", *names).mapInArrow(near, f"qid bigint, orig_id bigint, is_fraud boolean, dist {kind}")
 

@@ -108,6 +108,14 @@ def test_budgeted_search(data, fast, full):
         assert {q: n for q, (n, _) in got.items()} == {q[0]: sum(t[2] for t in plain_knn(q, rows)) for q in queries}
 
 
+def test_scans_by_join_and_by_matrix_agree(spark, data, monkeypatch):
+    _, _, qdf, clusters, assigned = data
+    found = lambda: sorted(map(tuple, ivf.search(qdf, clusters, assigned, DIM, 3, 6).collect()))
+    sent = found()
+    monkeypatch.setattr(ivf, "MOST_SENT", 10)
+    assert found() == sent
+
+
 def test_two_clusters(spark):
     rows = [(i, True, 0, 0, 0) for i in range(4)] + [(4 + i, False, 10000, 10000, 10000) for i in range(4)]
     clusters, assigned = ivf.build_index(frame(spark, rows), 2, DIM)
