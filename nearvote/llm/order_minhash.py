@@ -15,6 +15,7 @@ words are one node from the start.
    n - 2 * 0.8 n / 1.8 + 1 labels of its shorter text and the first m - 0.8 m + 1 of its longer one, in any order, so no
    pair of the bucket is lost; and the labels of a passage that many share are left out of it, unless texts hardly
    have any others.
+   One member of each of these buckets is aligned with the others again.
 3. All pairs from different classes that meet in these small buckets are tried against three exact bounds (sizes, labels
    that come after the shared one, bit maps of 1024 cells), vectorised over blocks of at most `BLOCK` nodes. Pairs of blocks, not buckets,
    are what a task gets, so that a bucket of any size needs no more memory. Only pairs within the bounds become rows; they
@@ -383,6 +384,13 @@ def _met(rows: DataFrame, at_least: float) -> DataFrame:
     return dealt.repartition("unit").sortWithinPartitions("unit").mapInArrow(lean(work, CELL_ROWS), "a bigint, b bigint")
 
 
+def _several(rows: DataFrame, *more: Column) -> DataFrame:
+    """bucket, n and more for the buckets of rows (bucket, id, c, and short if any) that hold several classes and a node that can be the shorter one."""
+    short = F.count_if("short") if "short" in rows.columns else F.count("*")
+    found = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high"), short.alias("n_short"), *more)
+    return found.where("low != high AND n_short > 0").drop("low", "high", "n_short")
+
+
 def _find(nodes: DataFrame, labels_of, at_least: float) -> Classes:
     """Classes of nodes (id, size, sketches)."""
     classes = Classes(nodes.sparkSession)
@@ -398,18 +406,26 @@ def _find(nodes: DataFrame, labels_of, at_least: float) -> Classes:
     classes.link(_verified(star, labels, at_least))
     # buckets with members of different classes; of two members both have met
     now = classes.of(live.where("n > 2").select("bucket", "id"), "id", "c")
-    several = F.col("low") != F.col("high")
-    several_in = lambda rows, *more: rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high"), *more).where(several).drop("low", "high")
-    left = cut(join_counted(now, several_in(now), ["bucket"], "n", total), "left")
+    left = cut(join_counted(now, _several(now), ["bucket"], "n", total), "left")
+    columns = ["bucket", "id", "size", "place", "short", "cells"]
     small = left.where(F.col("n") <= BIG).join(labels.select("id", "size", "cells"), "id").withColumns({"place": F.lit(0), "short": F.lit(True)})
     big = labels.join(left.where(F.col("n") > BIG).select("id").distinct(), "id", "left_semi")
     with batches_of(nodes.sparkSession, TEXT_ROWS):
-        rare = classes.of(cut(_rehashed(cut(big, "big"), at_least), "rare"), "id", "c")
-    rare = join_counted(rare, several_in(rare, F.count_if("short").alias("n_short")).where("n_short > 0").drop("n_short"), ["bucket"], "n", total)
-    columns = ["bucket", "n", "id", "size", "c", "place", "short", "cells"]
-    pairs = _met(small.select(columns).unionByName(rare.select(columns)), at_least).distinct()
+        rare = cut(_rehashed(cut(big, "big"), at_least), "rare")
+    buckets = cut(small.select(columns).unionByName(rare.select(columns)), "buckets")
+    # these buckets' chosen members settle what the first ones didn't
+    now = classes.of(buckets.select("bucket", "id", "short"), "id", "c")
+    heads = _several(now, F.min(F.struct(F.xxhash64("id", F.lit(HEADS)).alias("h"), "id", "c")).alias("head"))
+    met = join_counted(now.drop("short"), heads, ["bucket"], "n", total).where("c != head.c")
+    again = met.select(F.least("id", "head.id").alias("a"), F.greatest("id", "head.id").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+    again = cut(_fitting(again, labels, at_least), "again")
+    classes.link(_verified(again, labels, at_least))
+    # all other pairs from different classes
+    now = classes.of(buckets, "id", "c")
+    rows = join_counted(now, _several(now), ["bucket"], "n", total)
+    pairs = _met(rows, at_least).distinct().join(star, ["a", "b"], "left_anti").join(again, ["a", "b"], "left_anti")
     with batches_of(nodes.sparkSession, CELL_ROWS):
-        pairs = cut(pairs.join(star, ["a", "b"], "left_anti"), "pairs")
+        pairs = cut(pairs, "pairs")
     # each node with one partner first; pairs whose ends are then in one class need no look
     rank = F.struct(F.xxhash64("a"), "a")
     first = cut(pairs.groupBy("b").agg(F.min(F.struct(rank.alias("r"), "a")).alias("x")).select(F.col("x.a").alias("a"), "b"), "first")
