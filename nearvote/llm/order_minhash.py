@@ -298,7 +298,7 @@ def _counts(labels: DataFrame) -> np.ndarray:
 
 
 def _rehashed(labels: DataFrame, at_least: float) -> DataFrame:
-    """bucket, id, size, place, short, cells: each node's labels that a similar text can't all lack, rarest first.
+    """bucket, id, size, place, short, cells, before (the node's other labels up to this one): labels that a similar text can't all lack, rarest first.
 
     Similar texts of n <= m labels have at_least / (1 + at_least) * (n + m) in common, so whatever the order of all labels, one is among
     the first n - 2 * at_least / (1 + at_least) * n + 1 of the shorter text (short) and the first m - at_least * m + 1 of the longer.
@@ -310,33 +310,39 @@ def _rehashed(labels: DataFrame, at_least: float) -> DataFrame:
             sizes, cells = batch.column(1).to_numpy(), batch.column(3)
             lists = batch.column(2)
             for begin in range(0, batch.num_rows, 64):
-                bucket, row, place, short = [], [], [], []
+                bucket, row, place, short, before = [], [], [], [], []
                 for i in range(begin, min(begin + 64, batch.num_rows)):
                     own, n = lists[i].values.to_numpy(), int(sizes[i])
                     often = sent.value[(own.view(np.uint64) >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]
                     first = np.lexsort((own, often))[: n - int(np.ceil(at_least * n - 1e-6)) + 1]
                     at = np.flatnonzero(often[first] > 1)  # what no other node has finds no partner
                     bucket.append(own[first[at]])
+                    before += [bucket[-1][:k] for k in range(len(at))]
                     place.append(at)
                     short.append(at <= n - int(np.ceil(2 * at_least / (1 + at_least) * n - 1e-6)))
                     row.append(np.full(len(at), i))
                 rows = pa.array(np.concatenate(row), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(bucket)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.concatenate(place), pa.int32()), pa.array(np.concatenate(short)), cells.take(rows)], ["bucket", "id", "size", "place", "short", "cells"])
+                ends = np.cumsum([0, *map(len, before)])
+                earlier = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *before])))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(bucket)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.concatenate(place), pa.int32()), pa.array(np.concatenate(short)), cells.take(rows), earlier], ["bucket", "id", "size", "place", "short", "cells", "before"])
 
-    return labels.select("id", "size", "labels", "cells").mapInArrow(lean(work), "bucket bigint, id bigint, size int, place int, short boolean, cells array<bigint>")
+    return labels.select("id", "size", "labels", "cells").mapInArrow(lean(work), "bucket bigint, id bigint, size int, place int, short boolean, cells array<bigint>, before array<bigint>")
 
 
 def _met(rows: DataFrame, at_least: float) -> DataFrame:
-    """a, b: pairs of different classes in a bucket that no bound rules out; rows: bucket, n (nodes in it), id, size, c, place, short, cells."""
+    """a, b: pairs of different classes in a bucket that no bound rules out; rows: bucket, n (nodes in it), id, size, c, place, short, cells, before.
+
+    A pair with several labels in common is looked at in the bucket of the first, where the bound by place holds, and nowhere else.
+    """
     blocks = F.ceil(F.col("n") / BLOCK)
     block = F.pmod(F.xxhash64("id", F.lit(1)), blocks)
     dealt = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     unit = F.when(F.col("n") <= BLOCK, F.col("bucket")).otherwise(F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other")))
     # in the unit of two blocks those of one block have met elsewhere
-    dealt = dealt.select(unit.alias("unit"), F.when(F.col("block") == F.col("other"), -1).otherwise(F.col("block")).cast("long").alias("block"), "id", "size", "c", "place", "short", "cells")
+    dealt = dealt.select(unit.alias("unit"), F.when(F.col("block") == F.col("other"), -1).otherwise(F.col("block")).cast("long").alias("block"), "id", "size", "c", "place", "short", "cells", "before")
     share = at_least / (1 + at_least)
 
-    def compare(unit, block, node, size, c, place, short, cells) -> np.ndarray:
+    def compare(unit, block, node, size, c, place, short, cells, before) -> np.ndarray:
         last = np.append(np.flatnonzero(unit[1:] != unit[:-1]), len(unit) - 1)
         end = last[np.searchsorted(last, np.arange(len(unit)))]
         out, x, d = [], np.arange(len(unit)), 0
@@ -356,7 +362,9 @@ def _met(rows: DataFrame, at_least: float) -> DataFrame:
             if len(a):
                 alone = lambda s, t: np.bitwise_count(cells[s] & ~cells[t]).sum(1, dtype=np.int64)
                 keep = np.minimum(size[a] - alone(a, b), size[b] - alone(b, a)) >= need
-                out.append(np.stack([np.minimum(node[a], node[b]), np.maximum(node[a], node[b])])[:, keep])
+                a, b = a[keep], b[keep]
+                first = np.array([before[i].isdisjoint(before[j]) for i, j in zip(a.tolist(), b.tolist(), strict=True)], bool)
+                out.append(np.stack([np.minimum(node[a], node[b]), np.maximum(node[a], node[b])])[:, first])
         return np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -373,6 +381,9 @@ def _met(rows: DataFrame, at_least: float) -> DataFrame:
                 continue
             new = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(7)]
             new.append(batch.column(7).flatten().to_numpy().view(np.uint64).reshape(-1, CELLS))
+            sets = np.empty(batch.num_rows, object)
+            sets[:] = [frozenset(x) for x in batch.column(8).to_pylist()]
+            new.append(sets)
             held = [np.concatenate(x) for x in zip(held, new, strict=True)] if held else new
             n = int(np.searchsorted(-(held[0] != held[0][-1]).astype(int), 0))  # the last unit may go on in the next batch
             if n:
@@ -407,8 +418,8 @@ def _find(nodes: DataFrame, labels_of, at_least: float) -> Classes:
     # buckets with members of different classes; of two members both have met
     now = classes.of(live.where("n > 2").select("bucket", "id"), "id", "c")
     left = cut(join_counted(now, _several(now), ["bucket"], "n", total), "left")
-    columns = ["bucket", "id", "size", "place", "short", "cells"]
-    small = left.where(F.col("n") <= BIG).join(labels.select("id", "size", "cells"), "id").withColumns({"place": F.lit(0), "short": F.lit(True)})
+    columns = ["bucket", "id", "size", "place", "short", "cells", "before"]
+    small = left.where(F.col("n") <= BIG).join(labels.select("id", "size", "cells"), "id").withColumns({"place": F.lit(0), "short": F.lit(True), "before": F.array().cast("array<bigint>")})
     big = labels.join(left.where(F.col("n") > BIG).select("id").distinct(), "id", "left_semi")
     with batches_of(nodes.sparkSession, TEXT_ROWS):
         rare = cut(_rehashed(cut(big, "big"), at_least), "rare")
