@@ -6,6 +6,7 @@ Search works on whole numbers, or, with `single`, on queries, vectors, centres a
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -15,15 +16,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nearvote.functions.constants import FAST, FULL, K
-from nearvote.functions.distance import box_bound, l2, l2_single
+from nearvote.functions.distance import box_bound, l2
 
 from . import kmeans
-from .knn import Nearest, matrix, single, whole
+from .knn import Leaves, Nearest, blocks, brought, gaps, in_batches, matrix, pieces, single, whole
+from .lineage import materialise
 from .topk import gathered, top_k, votes
 
 NO_BOUND = 9_223_372_036_854_775_807
-#: Pairs of a query and a cluster that are sent to every task: some 30 MB.
-MOST_SENT = 200_000
+#: Pairs of a query and a cluster that are sent to every task at once, some 20 MB; more are sent in parts.
+MOST_SENT = 400_000
+#: Cells of an exact search over many pairs.
+CELLS = 64
 
 
 def _kind(vectors: DataFrame) -> str:
@@ -55,11 +59,6 @@ def build_index(vectors: DataFrame, n_clusters: int, dim: int, iterations: int =
     return clusters_of(assigned, centres), assigned
 
 
-def _if_small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """df, to be broadcast if a count shows that it is small; else the join is left to the optimiser."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 def _queries(queries: DataFrame, dim: int) -> DataFrame:
     return queries.select(F.col("orig_id").alias("qid"), *(F.col(f"v{j}").alias(f"q{j}") for j in range(dim)))
 
@@ -109,56 +108,77 @@ def probes(queries: DataFrame, clusters: DataFrame, dim: int, n_probe: int = 1)
     return rows.mapInArrow(work, _fields(rows, T.StructField("cluster_id", T.IntegerType())))
 
 
-def scan(chosen: DataFrame, vectors: DataFrame, dim: int, k: int = K) -> DataFrame:
-    """qid, cluster_id, orig_id, is_fraud, dist for chosen (qid, q0..., cluster_id and perhaps bound): vectors of the cluster, within the bound.
+def _scanned(vectors: DataFrame, dim: int, k: int, sent: Broadcast, asked) -> DataFrame:
+    """qid, cluster_id, orig_id, is_fraud, dist: for queries and the clusters they ask for, the k nearest of every piece of a cluster, within limits.
 
-    All that can be among the k nearest of a query and cluster are there. Up to MOST_SENT rows of chosen go to where the vectors are, and a task
-    returns its k nearest; more are joined.
+    sent: qids, points, limits and what else `asked`(those, cluster) needs to give the places of the queries that ask.
     """
-    kind, names, bounded = _kind(vectors), [f"q{j}" for j in range(dim)], "bound" in chosen.columns
-    columns = ["qid", "cluster_id", *names, *(["bound"] if bounded else [])]
-    rows = chosen.select(columns).limit(MOST_SENT + 1).toArrow()
-    if rows.num_rows > MOST_SENT:
-        joined = vectors.join(_if_small(chosen), "cluster_id")
-        dist = (l2_single if kind == "float" else l2)("q", "v", dim)
-        pairs = joined.select("qid", "cluster_id", "orig_id", "is_fraud", *(["bound"] if bounded else []), dist.alias("dist"))
-        return pairs.where("dist <= bound").drop("bound") if bounded else pairs
-    batch = rows.combine_chunks()
-    points = np.column_stack([batch.column(c).to_numpy().astype(np.float64) for c in names]) if rows.num_rows else np.zeros((0, dim))
-    limit = batch.column("bound").to_numpy() if bounded else np.full(rows.num_rows, np.inf)
-    sent = vectors.sparkSession.sparkContext.broadcast((batch.column("qid").to_numpy(), batch.column("cluster_id").to_numpy(), points, limit))
-    measure, fields = single if kind == "float" else whole, [f"v{j}" for j in range(dim)]
+    kind, fields = _kind(vectors), [f"v{j}" for j in range(dim)]
+    measure, names = single if kind == "float" else whole, ["qid", "cluster_id", "orig_id", "is_fraud", "dist"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids, of, points, limit = sent.value
-        asked = {c: np.flatnonzero(of == c) for c in np.unique(of).tolist()}
-        best: dict[int, Nearest] = {}
-        for batch in batches:
-            clusters = batch.column(0).to_numpy()
-            ids, labels, values = batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False).astype(bool), matrix(batch, fields)
+        qids, points, limits = sent.value[:3]
+        for (clusters, ids, labels), values in pieces(batches, 3):
             for c in np.unique(clusters).tolist():
-                if c in asked:
-                    if c not in best:
-                        best[c] = Nearest(points[asked[c]], k, measure, limit[asked[c]])
-                    at = np.flatnonzero(clusters == c)
-                    best[c].add(ids[at], labels[at], values[at])
-        for c, near in best.items():
-            qid, orig_id, label, dist = near.found(qids[asked[c]], kind)
-            yield pa.RecordBatch.from_arrays([pa.array(qid), pa.array(np.full(len(qid), c, np.int32)), pa.array(orig_id), pa.array(label), pa.array(dist)], ["qid", "cluster_id", "orig_id", "is_fraud", "dist"])
+                at = asked(sent.value, c)
+                if len(at):
+                    own = clusters == c
+                    best = Nearest(points[at], k, measure, limits[at])
+                    best.add(Leaves(ids[own], labels[own].astype(bool), values[own], measure))
+                    qid, orig_id, label, dist = best.found(qids[at], kind)
+                    yield from in_batches([qid, np.full(len(qid), c, np.int32), orig_id, label, dist], names)
 
     return vectors.select("cluster_id", "orig_id", "is_fraud", *fields).mapInArrow(work, f"qid bigint, cluster_id int, orig_id bigint, is_fraud boolean, dist {kind}")
 
 
-def candidates(queries: DataFrame, clusters: DataFrame, vectors: DataFrame, dim: int, k: int = K, n_probe: int = 1) -> DataFrame:
+def _asked_by_name(sent: tuple, c: int) -> np.ndarray:
+    return np.flatnonzero(sent[3] == c)
+
+
+def _asked_by_box(sent: tuple, c: int) -> np.ndarray:
+    """Queries whose limit reaches the box of cluster c, but for those that it was a probe of."""
+    _, points, limits, probed, ids, low, high = sent
+    i, real = int(np.searchsorted(ids, c)), low.dtype
+    return np.flatnonzero((gaps(points.astype(real), low[i], high[i]) <= limits) & ~(probed == c).any(1))
+
+
+def scan(chosen: DataFrame, vectors: DataFrame, dim: int, k: int = K) -> DataFrame:
+    """qid, cluster_id, orig_id, is_fraud, dist for chosen (qid, q0..., cluster_id and perhaps bound): vectors of the cluster, within the bound.
+
+    All that can be among the k nearest of a query and cluster are there. The rows of chosen go to where the vectors are, about MOST_SENT at a
+    time, and a task returns its k nearest.
+    """
+    names, bounded = [f"q{j}" for j in range(dim)], "bound" in chosen.columns
+    extra = ["qid", "cluster_id", *(["bound"] if bounded else [])]
+    n = -(-chosen.count() // MOST_SENT)
+    part = F.pmod(F.xxhash64("qid", "cluster_id"), F.lit(max(n, 1)))
+
+    def of(rows: DataFrame) -> DataFrame:
+        (qids, of_, *limit), points = brought(rows.select(*extra, *names), len(extra))
+        limits = limit[0].astype(np.float64) if bounded else np.full(len(qids), np.inf)
+        return _scanned(vectors, dim, k, vectors.sparkSession.sparkContext.broadcast((qids, points, limits, of_)), _asked_by_name)
+
+    return reduce(DataFrame.unionByName, [of(chosen if n <= 1 else chosen.where(part == b)) for b in range(max(n, 1))])
+
+
+def _found(queries: DataFrame, clusters: DataFrame, vectors: DataFrame, dim: int, k: int, n_probe: int) -> DataFrame:
+    """qid, top: the k nearest in the probes; queries whose probes are empty aren't there."""
+    return gathered(top_k(scan(probes(queries, clusters, dim, n_probe), vectors, dim, k), ["qid"], k), ["qid"])
+
+
+def _bound(k: int, kind: str) -> Column:
+    return F.when(F.size("top") >= k, F.element_at("top", k)["dist"]).otherwise(F.lit(NO_BOUND).cast(kind))
+
+
+def candidates(queries: DataFrame, clusters: DataFrame, vectors: DataFrame, dim: int, k: int = K, n_probe: int = 1, found: DataFrame | None = None) -> DataFrame:
     """qid, q0..., cluster_id, n, lb, bound, is_probe: the probes, and the clusters whose box is within the k-th distance of what they hold.
 
-    Only clusters that can still matter become rows; boxes are looked at once the bound is known.
+    Only clusters that can still matter become rows; boxes are looked at once the bound is known. found: what the probes hold, if that is known.
     """
-    found = gathered(top_k(scan(probes(queries, clusters, dim, n_probe), vectors, dim, k), ["qid"], k), ["qid"])
-    kind = _kind(queries)
-    none, real = F.lit(NO_BOUND).cast(kind), np.float32 if kind == "float" else np.float64
-    bound = F.when(F.size("top") >= k, F.element_at("top", k)["dist"]).otherwise(none)
-    rows = _queries(queries, dim).join(found.select("qid", bound.alias("bound")), "qid", "left").withColumn("bound", F.coalesce("bound", none))
+    found = _found(queries, clusters, vectors, dim, k, n_probe) if found is None else found
+    kind = _kind(vectors)
+    real = np.float32 if kind == "float" else np.float64
+    rows = _queries(queries, dim).join(found.select("qid", _bound(k, kind).alias("bound")), "qid", "left").withColumn("bound", F.coalesce("bound", F.lit(NO_BOUND).cast(kind)))
     sent, names, width = _sent(clusters, dim), [f"q{j}" for j in range(dim)], dim + 1
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,10 +190,7 @@ def candidates(queries: DataFrame, clusters: DataFrame, vectors: DataFrame, dim:
                 points = matrix(batch, names).astype(real)
                 probe = np.zeros((len(points), len(ids)), bool)
                 probe[np.arange(len(points))[:, None], _nearest_centres(points, centres, n_probe, kind)] = True
-                lb = np.zeros(probe.shape, real)
-                for j in range(dim):
-                    gap = np.maximum(np.maximum(low[:, j] - points[:, j, None], points[:, j, None] - high[:, j]), real(0))
-                    lb += gap * gap
+                lb = gaps(points[:, None], low, high)
                 lb = lb if kind == "float" else lb.astype(np.int64)
                 row, c = np.nonzero(probe | ((sizes > 0) & (lb <= batch.column(width).to_numpy()[:, None])))
                 kept = batch.take(pa.array(row))
@@ -184,6 +201,43 @@ def candidates(queries: DataFrame, clusters: DataFrame, vectors: DataFrame, dim:
     return rows.select("qid", *names, "bound").mapInArrow(work, out)
 
 
+def _beyond_probes(queries: DataFrame, clusters: DataFrame, vectors: DataFrame, dim: int, k: int, n_probe: int, found: DataFrame) -> DataFrame:
+    """qid, cluster_id, orig_id, is_fraud, dist: within the bound of each query, the k nearest of each cluster that isn't a probe.
+
+    Queries go to where the vectors are, which know the boxes of their clusters, so no row is made for a query and a cluster.
+    """
+    kind, sc = _kind(vectors), vectors.sparkSession.sparkContext
+    real = np.float32 if kind == "float" else np.float64
+    ids, _, centres, low, high = _sent(clusters, dim).value
+    bounds = found.select("qid", _bound(k, kind).cast("double").alias("bound")).orderBy("qid").toArrow()
+    named, most = bounds["qid"].to_numpy(), np.append(bounds["bound"].to_numpy(), np.float64(real(NO_BOUND)))
+
+    def of(block: DataFrame) -> DataFrame:
+        (qids,), points = brought(_queries(block, dim), 1)
+        at = np.searchsorted(named, qids)
+        known = np.append(named, -1)[at] == qids
+        limits = most[np.where(known & (at < len(named)), at, len(named))]
+        near = [_nearest_centres(points[i : i + 4096].astype(np.float64), centres, n_probe, kind) for i in range(0, len(points), 4096)]
+        probed = ids[np.concatenate(near)] if near else np.zeros((0, 1), np.int32)
+        return _scanned(vectors, dim, k, sc.broadcast((qids, points, limits, probed, ids, low.astype(real), high.astype(real))), _asked_by_box)
+
+    return reduce(DataFrame.unionByName, [of(b) for b in blocks(queries)])
+
+
+def by_cells(queries: DataFrame, vectors: DataFrame, dim: int, k: int = K) -> DataFrame:
+    """qid, orig_id, is_fraud, dist, rank: the k nearest of all vectors, which are dealt into CELLS cells for this search alone.
+
+    What a query finds in the cell with the nearest centre bounds its search of the others; none whose box is within the bound is left out.
+    """
+    centres = kmeans.seeds(vectors, min(CELLS, vectors.limit(CELLS).count()), dim)
+    assigned = materialise(kmeans.assign(vectors, centres).repartitionByRange("cluster_id", "orig_id").sortWithinPartitions("cluster_id"), "cells")
+    clusters = materialise(clusters_of(assigned, centres), "cell-boxes")
+    columns = ["qid", "orig_id", "is_fraud", "dist"]
+    home = materialise(top_k(scan(probes(queries, clusters, dim), assigned, dim, k), ["qid"], k).select(columns), "home")
+    others = _beyond_probes(queries, clusters, assigned, dim, k, 1, gathered(home, ["qid"]))
+    return top_k(home.unionByName(others.select(columns)), ["qid"], k)
+
+
 def _merge(fast: int, full: int, k: int, kind: str):
     """One step of the search over clusters in order of their number; see `search`."""
 
@@ -206,17 +260,18 @@ def _merge(fast: int, full: int, k: int, kind: str):
 
 def visitable(queries: DataFrame, clusters: DataFrame, vectors: DataFrame, dim: int, k: int = K, n_probe: int = 1) -> DataFrame:
     """qid, probe_top, n_probe, others (cluster_id, lb, top): what any search of these queries may visit; see `fold`."""
-    near = candidates(queries, clusters, vectors, dim, k, n_probe)
-    found = scan(near.select("qid", *(f"q{j}" for j in range(dim)), "cluster_id", "bound"), vectors, dim, k)
+    held = materialise(_found(queries, clusters, vectors, dim, k, n_probe), "probes")
+    near = candidates(queries, clusters, vectors, dim, k, n_probe, held)
+    found = _beyond_probes(queries, clusters, vectors, dim, k, n_probe, held)
     tops = gathered(top_k(found, ["qid", "cluster_id"], k), ["qid", "cluster_id"])
     listed_as = _top_kind(_kind(vectors))
     empty = F.array().cast(listed_as)
     listed = near.select("qid", "cluster_id", "lb", "is_probe").join(tops, ["qid", "cluster_id"], "left").withColumn("top", F.coalesce(F.col("top").cast(listed_as), empty))
-    return listed.groupBy("qid").agg(
-        F.slice(F.array_sort(F.flatten(F.collect_list(F.when(F.col("is_probe"), F.col("top"))))), 1, k).alias("probe_top"),
+    lists = listed.groupBy("qid").agg(
         F.count_if("is_probe").cast("int").alias("n_probe"),
         F.array_sort(F.collect_list(F.when(~F.col("is_probe"), F.struct("cluster_id", "lb", "top")))).alias("others"),
     )
+    return lists.join(held, "qid", "left").select("qid", F.coalesce(F.col("top").cast(listed_as), empty).alias("probe_top"), "n_probe", "others")
 
 
 def fold(lists: DataFrame, fast: int = FAST, full: int = FULL, k: int = K) -> DataFrame:

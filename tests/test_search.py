@@ -213,3 +213,58 @@ def test_plus_plus_draws_by_distance(spark):
     assert same == [(5, 5, 5)] * 3  # no weight is left: drawn evenly
     with pytest.raises(ValueError):
         kmeans.plus_plus(frame(spark, []), 1, DIM, kmeans.drawn(1))
+
+
+def test_scans_keep_no_row_for_each_pair(spark, data, monkeypatch):
+    """However many queries there are, a scan returns at most k rows of a query, cluster and piece; a join made one of each pair."""
+    _, _, qdf, clusters, assigned = data
+    monkeypatch.setattr(ivf, "MOST_SENT", 10)
+    found = ivf.scan(ivf.probes(qdf, clusters, DIM), assigned.coalesce(1), DIM)
+    assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
+    assert max(r["count"] for r in found.groupBy("qid", "cluster_id").count().collect()) <= K
+    near = ivf.candidates(qdf, clusters, assigned, DIM)
+    assert near.where("is_probe").count() == qdf.count() and near.where("NOT is_probe AND lb > bound").count() == 0
+
+
+def test_exact_neighbours_by_cells(spark, data, monkeypatch):
+    rows, queries, qdf, _, assigned = data
+    monkeypatch.setattr("nearvote.operators.knn.DENSE", 0)
+    got = {}
+    for r in exact_knn(qdf, assigned.drop("cluster_id"), DIM).orderBy("qid", "rank").collect():
+        got.setdefault(r["qid"], []).append((r["dist"], r["orig_id"], int(r["is_fraud"])))
+    assert got == {q[0]: plain_knn(q, rows) for q in queries}
+
+
+@pytest.mark.parametrize("far", [False, True])
+def test_leaves_lose_no_neighbour(far):
+    """Ties, many copies and several pieces, against sorting all pairs; a leaf out of reach isn't looked at."""
+    from nearvote.operators.knn import Leaves, Nearest, arranged, whole
+
+    rng = np.random.default_rng(5)
+    points = np.concatenate([rng.integers(-10, 10, (3000, 4)), np.full((2000, 4), 3), rng.integers(-10_000, 10_000, (3000, 4))]).astype(np.int16)
+    ids = rng.permutation(len(points))
+    queries = np.concatenate([points[::40], rng.integers(-10_000, 10_000, (60, 4)).astype(np.int16)])
+    queries = queries[arranged(queries, 64)[0]]
+    near = Nearest(queries, 1 if far else K, far=far)
+    seen = 0
+    for part in np.array_split(rng.permutation(len(points)), 3):
+        leaves = Leaves(ids[part], np.zeros(len(part), bool), points[part])
+        near.add(leaves)
+        seen += len(leaves.starts)
+    dist = whole(queries.astype(float), points.astype(float)) * (-1 if far else 1)
+    assert seen > 60
+    for i in range(len(queries)):
+        order = np.lexsort((ids, dist[i]))[: near.k]
+        assert near.ids[i].tolist() == ids[order].tolist() and near.dist[i].tolist() == dist[i][order].tolist()
+
+
+def test_summary_of_distances(spark, data):
+    from nearvote.operators.knn import summary
+
+    rows, queries, qdf, _, assigned = data
+    plan = summary(qdf, assigned, DIM)
+    assert "NestedLoop" not in plan._jdf.queryExecution().executedPlan().toString()
+    got = {r["qid"]: (r["n"], r["low"], r["high"], r["total"]) for r in plan.collect()}
+    for q in queries:
+        every = [dist(q[2:], r[2:]) for r in rows]
+        assert got[q[0]] == (len(every), min(every), max(every), sum(every))
