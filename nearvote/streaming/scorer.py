@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from nearvote.functions.constants import DIM, FAST, FULL
 from nearvote.functions.features import build_vectors
 from nearvote.operators.ivf import search
+from nearvote.operators.lineage import materialise, passing
 from nearvote.operators.scoring import response_body
 from nearvote.sources.payloads import flatten, parse_payloads
 
@@ -19,7 +20,7 @@ from nearvote.sources.payloads import flatten, parse_payloads
 def score_batch(requests: DataFrame, clusters: DataFrame, vectors: DataFrame, fast: int = FAST, full: int = FULL) -> DataFrame:
     """id, status, body for requests (id, body): 200 and the decision, or 400 and nothing."""
     parsed = parse_payloads(requests)
-    queries = build_vectors(flatten(parsed, F.col("id").alias("orig_id")), "orig_id")
+    queries = materialise(build_vectors(flatten(parsed, F.col("id").alias("orig_id")), "orig_id"), "queries")  # they are parsed once
     scored = search(queries, clusters, vectors, DIM, fast, full).select(F.col("qid").alias("id"), F.lit(200).alias("status"), response_body(F.col("fraud_count")).alias("body"))
     refused = parsed.where(F.col("reason").isNotNull()).select("id", F.lit(400).alias("status"), F.lit(None).cast("string").alias("body"))
     return scored.unionByName(refused)
@@ -35,7 +36,8 @@ def score_stream(requests: DataFrame, sink: str, checkpoint: str, clusters: Data
     """Writes the answers to a stream (id, body) as Parquet, one folder a batch, so that a repeated batch replaces itself."""
 
     def write(batch: DataFrame, number: int) -> None:
-        score_batch(batch, clusters, vectors, fast, full).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+        with passing(batch.sparkSession):
+            score_batch(batch, clusters, vectors, fast, full).write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
     writer = requests.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
