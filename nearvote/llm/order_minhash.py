@@ -298,7 +298,7 @@ def _counts(labels: DataFrame) -> np.ndarray:
 
 
 def _rehashed(labels: DataFrame, at_least: float) -> DataFrame:
-    """bucket, id, size, place, short, cells, before (the node's other labels up to this one): labels that a similar text can't all lack, rarest first.
+    """bucket, id, c, size, place, short, cells, before (the node's other labels up to this one): labels that a similar text can't all lack, rarest first.
 
     Similar texts of n <= m labels have at_least / (1 + at_least) * (n + m) in common, so whatever the order of all labels, one is among
     the first n - 2 * at_least / (1 + at_least) * n + 1 of the shorter text (short) and the first m - at_least * m + 1 of the longer.
@@ -324,9 +324,9 @@ def _rehashed(labels: DataFrame, at_least: float) -> DataFrame:
                 rows = pa.array(np.concatenate(row), pa.int64())
                 ends = np.cumsum([0, *map(len, before)])
                 earlier = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *before])))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(bucket)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.concatenate(place), pa.int32()), pa.array(np.concatenate(short)), cells.take(rows), earlier], ["bucket", "id", "size", "place", "short", "cells", "before"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(bucket)), batch.column(0).take(rows), batch.column(4).take(rows), batch.column(1).take(rows), pa.array(np.concatenate(place), pa.int32()), pa.array(np.concatenate(short)), cells.take(rows), earlier], ["bucket", "id", "c", "size", "place", "short", "cells", "before"])
 
-    return labels.select("id", "size", "labels", "cells").mapInArrow(lean(work), "bucket bigint, id bigint, size int, place int, short boolean, cells array<bigint>, before array<bigint>")
+    return labels.select("id", "size", "labels", "cells", "c").mapInArrow(lean(work), "bucket bigint, id bigint, c bigint, size int, place int, short boolean, cells array<bigint>, before array<bigint>")
 
 
 def _met(rows: DataFrame, at_least: float) -> DataFrame:
@@ -416,23 +416,23 @@ def _find(nodes: DataFrame, labels_of, at_least: float) -> Classes:
     star = cut(_fitting(live.where("id != head").select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct(), labels, at_least), "star")
     classes.link(_verified(star, labels, at_least))
     # buckets with members of different classes; of two members both have met
-    now = classes.of(live.where("n > 2").select("bucket", "id"), "id", "c")
+    now = cut(classes.of(live.where("n > 2").select("bucket", "id"), "id", "c"), "now")
     left = cut(join_counted(now, _several(now), ["bucket"], "n", total), "left")
-    columns = ["bucket", "id", "size", "place", "short", "cells", "before"]
+    columns = ["bucket", "id", "c", "size", "place", "short", "cells", "before"]
     small = left.where(F.col("n") <= BIG).join(labels.select("id", "size", "cells"), "id").withColumns({"place": F.lit(0), "short": F.lit(True), "before": F.array().cast("array<bigint>")})
     big = labels.join(left.where(F.col("n") > BIG).select("id").distinct(), "id", "left_semi")
     with batches_of(nodes.sparkSession, TEXT_ROWS):
-        rare = cut(_rehashed(cut(big, "big"), at_least), "rare")
+        rare = cut(_rehashed(cut(classes.of(big, "id", "c"), "big"), at_least), "rare")  # classes are looked up by node, not by row
     buckets = cut(small.select(columns).unionByName(rare.select(columns)), "buckets")
     # these buckets' chosen members settle what the first ones didn't
-    now = classes.of(buckets.select("bucket", "id", "short"), "id", "c")
-    heads = _several(now, F.min(F.struct(F.xxhash64("id", F.lit(HEADS)).alias("h"), "id", "c")).alias("head"))
-    met = join_counted(now.drop("short"), heads, ["bucket"], "n", total).where("c != head.c")
-    again = met.select(F.least("id", "head.id").alias("a"), F.greatest("id", "head.id").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+    heads = _several(buckets, F.min(F.struct(F.xxhash64("id", F.lit(HEADS)).alias("h"), "id", "c")).alias("head"))
+    with batches_of(nodes.sparkSession, CELL_ROWS):
+        contested = cut(join_counted(buckets, heads, ["bucket"], "n", total), "contested")
+    again = contested.where("c != head.c").select(F.least("id", "head.id").alias("a"), F.greatest("id", "head.id").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
     again = cut(_fitting(again, labels, at_least), "again")
     classes.link(_verified(again, labels, at_least))
-    # all other pairs from different classes
-    now = classes.of(buckets, "id", "c")
+    # all other pairs from different classes; classes only grow, so buckets with one class then have one now
+    now = cut(classes.of(contested.select("bucket", "id", "size", "place", "short", "cells", "before"), "id", "c"), "now")
     rows = join_counted(now, _several(now), ["bucket"], "n", total)
     pairs = _met(rows, at_least).distinct().join(star, ["a", "b"], "left_anti").join(again, ["a", "b"], "left_anti")
     with batches_of(nodes.sparkSession, CELL_ROWS):

@@ -687,3 +687,13 @@ def test_pipeline_stages(spark):
     assert packed.groupby("doc_id")["length"].sum().to_dict() == want
     assert packed.groupby("sequence_id")["length"].sum().max() <= 2048 and packed.groupby("sequence_id").size().max() <= packing.MOST_DOCS
     assert [name for name, _ in pipeline.STAGES] == ["toxicity", "exact dedup", "near dedup", "decontamination", "packing"]
+
+
+def test_rehashed_rows_carry_their_class(spark):
+    """Classes are joined to nodes before these become many rows."""
+    from nearvote.llm import order_minhash
+
+    kinds = "id bigint, size int, labels array<bigint>, cells array<bigint>, c bigint"
+    same = [x << 50 for x in range(1, 9)]
+    rows = order_minhash._rehashed(spark.createDataFrame([(i, 8, same, [0] * order_minhash.CELLS, 70 + i) for i in range(3)], kinds), 0.8).collect()
+    assert {(r["id"], r["c"]) for r in rows} == {(i, 70 + i) for i in range(3)} and len(rows) > 3
