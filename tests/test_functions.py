@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from nearvote.functions.constants import MCC_RISK
 from nearvote.functions.features import mcc_risk
 from nearvote.functions.moments import minutes_between, parse_iso
-from nearvote.functions.numeric import clamp01, dequantise, f32, quantise, ratio, scaled
+from nearvote.functions.numeric import clamp01, dequantise, f32, quantise, quantise_sql, ratio, scaled
 from nearvote.functions.requests import parse_request, route, status
 
 
@@ -26,6 +26,15 @@ def test_quantise_rounds_half_away_and_saturates(spark):
     assert one(spark, *(quantise(f32(x)) for x in cases)) == tuple(cases.values())
 
 
+def test_quantise_is_exact_at_halves_without_decimals(spark):
+    rows = spark.range(200_001).select(((F.col("id") - 100_000) / 2).cast("float").alias("y"))
+    x = (F.col("y") / 10_000).cast("float")
+    exact = F.round(F.greatest(F.lit(-32768.0).cast("float"), F.least(F.lit(32767.0).cast("float"), x * F.lit(10_000.0).cast("float")))).cast("smallint")
+    both = rows.select(quantise(x).alias("got"), exact.alias("exact"), F.expr(quantise_sql("cast(y / 10000 as float)")).alias("sql"))
+    assert both.where("got <> exact OR sql <> exact OR got IS NULL").count() == 0
+    assert "round(" not in rows.select(quantise(x))._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_quantised_amounts_match_single_precision(spark):
     amounts = [i / 100 for i in range(0, 200_000, 37)]
     rows = spark.createDataFrame([(a,) for a in amounts], "a double").select("a", quantise(clamp01(scaled(F.col("a"), 10_000.0))).alias("q")).collect()

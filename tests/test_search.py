@@ -258,6 +258,45 @@ def test_leaves_lose_no_neighbour(far):
         assert near.ids[i].tolist() == ids[order].tolist() and near.dist[i].tolist() == dist[i][order].tolist()
 
 
+def test_few_boxes_are_compared_with_each_query(monkeypatch):
+    """Queries take bounds from their likeliest leaves; before, each was compared with the box of nearly every leaf."""
+    from nearvote.operators import knn
+
+    rng = np.random.default_rng(6)
+    points = rng.integers(-10_000, 10_000, (30_000, 3)).astype(np.int16)
+    queries = points[::10][knn.arranged(points[::10], knn.GROUP)[0]]
+    leaves = knn.Leaves(np.arange(len(points)), np.zeros(len(points), bool), points)
+    compared = []
+    for name in ("gaps", "between"):
+        f = getattr(knn, name, None)
+        monkeypatch.setattr(knn, name, lambda *boxes, f=f: compared.append((out := f(*boxes)).size) or out, raising=False)
+    near = knn.Nearest(queries, K)
+    near.add(leaves)
+    dist = knn.whole(queries.astype(float), points.astype(float))
+    assert (np.sort(dist, axis=1)[:, :K] == near.dist).all()
+    assert sum(compared) < len(queries) * len(leaves.starts) / 4
+
+
+def test_tables_leave_no_shuffle_files(spark):
+    """What was shuffled to write a table is deleted; before, it stayed until the driver's garbage was collected."""
+    import time
+
+    from nearvote.operators.lineage import FREED, materialise
+
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {n for i in range(found.size()) if (n := found.apply(i).getName()).startswith("shuffle_")}
+
+    before, was = files(), spark.conf.get(FREED, None)
+    table = materialise(spark.range(1000).repartition("id"), "some")
+    until = time.time() + 20
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before
+    assert spark.conf.get(FREED, None) == was
+    assert table.count() == 1000
+
+
 def test_summary_of_distances(spark, data):
     from nearvote.operators.knn import summary
 
