@@ -19,7 +19,7 @@ from nearvote.functions.constants import FAST, FULL, K
 from nearvote.functions.distance import box_bound, l2
 
 from . import kmeans
-from .knn import Leaves, Nearest, blocks, brought, gaps, in_batches, matrix, pieces, single, whole
+from .knn import Leaves, Nearest, alike, blocks, brought, gaps, in_batches, matrix, pieces, single, whole
 from .lineage import materialise
 from .topk import gathered, top_k, votes
 
@@ -118,14 +118,16 @@ def _scanned(vectors: DataFrame, dim: int, k: int, sent: Broadcast, asked) -> Da
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, points, limits = sent.value[:3]
+        same = alike(points, limits)
         for (clusters, ids, labels), values in pieces(batches, 3):
             for c in np.unique(clusters).tolist():
                 at = asked(sent.value, c)
                 if len(at):
                     own = clusters == c
-                    best = Nearest(points[at], k, measure, limits[at])
+                    _, first, of = np.unique(same[at], return_index=True, return_inverse=True)  # equal queries are answered once
+                    best = Nearest(points[at[first]], k, measure, limits[at[first]])
                     best.add(Leaves(ids[own], labels[own].astype(bool), values[own], measure))
-                    qid, orig_id, label, dist = best.found(qids[at], kind)
+                    qid, orig_id, label, dist = best.found(qids[at], kind, of)
                     yield from in_batches([qid, np.full(len(qid), c, np.int32), orig_id, label, dist], names)
 
     return vectors.select("cluster_id", "orig_id", "is_fraud", *fields).mapInArrow(work, f"qid bigint, cluster_id int, orig_id bigint, is_fraud boolean, dist {kind}")

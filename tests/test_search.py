@@ -277,6 +277,29 @@ def test_few_boxes_are_compared_with_each_query(monkeypatch):
     assert sum(compared) < len(queries) * len(leaves.starts) / 4
 
 
+@pytest.mark.parametrize("clash", [False, True])
+def test_equal_queries_are_answered_once(clash, monkeypatch):
+    """Equal queries share one search and each has its rows; before, each was searched for. Unlike points with one key stay apart."""
+    from nearvote.operators import knn
+
+    rng = np.random.default_rng(7)
+    points = rng.integers(-50, 50, (500, 3)).astype(np.int16)
+    if clash:
+        monkeypatch.setattr(knn.np.random, "default_rng", lambda _: type("Zero", (), {"integers": lambda *_: np.zeros(3, np.int64)}))
+    queries, names = points[rng.integers(0, 20, 300)], rng.permutation(300)
+    same = knn.alike(queries)
+    assert same.max() + 1 == len(np.unique(queries, axis=0)) and list(dict.fromkeys(same.tolist())) == list(range(same.max() + 1))
+    _, first, of = np.unique(same, return_index=True, return_inverse=True)
+    apart = knn.alike(queries[:, :2].astype(np.float32), np.arange(300.0)) if not clash else np.arange(300)
+    assert apart.tolist() == list(range(300))  # limits differ
+    leaves = knn.Leaves(np.arange(500), np.zeros(500, bool), points)
+    shared, alone = knn.Nearest(queries[first], K), knn.Nearest(queries, K)
+    shared.add(leaves)
+    alone.add(leaves)
+    for a, b in zip(shared.found(names, "bigint", of), alone.found(names, "bigint"), strict=True):
+        assert a.tolist() == b.tolist()
+
+
 def test_tables_leave_no_shuffle_files(spark):
     """What was shuffled to write a table is deleted; before, it stayed until the driver's garbage was collected."""
     import time
