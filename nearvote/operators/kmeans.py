@@ -14,12 +14,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .knn import matrix
+from .knn import groups, matrix
 
 #: Centres have at most so many clusters and come to the driver as rows of integers.
 MAX_CLUSTERS = 4_096
 #: Vectors from which centres are drawn, and the steps of a draw.
 MOST_SAMPLED, DRAWS = 20_000, 10_000
+#: Rows of a cluster that are shuffled as one.
+BUNDLE = 4_096
 Centres = list[tuple[int, ...]]
 
 
@@ -67,6 +69,41 @@ def assign(vectors: DataFrame, centres: Centres) -> DataFrame:
     return vectors.mapInArrow(work, T.StructType([*vectors.schema.fields, T.StructField("cluster_id", T.IntegerType())]))
 
 
+def _bundles(batches: Iterator[pa.RecordBatch], points: np.ndarray, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """cluster_id and bundle: up to BUNDLE rows of a cluster as a compressed Arrow stream, ordered by their first column."""
+    for held in groups(batches, 0):
+        rows = pa.Table.from_batches(held).combine_chunks()
+        found = np.concatenate([nearest(matrix(b, names), points) for b in held])
+        order = np.lexsort((rows.column(0).to_numpy(), found))
+        starts = np.append(np.flatnonzero(np.diff(found[order], prepend=-1)), len(order))
+        clusters, bundles = [], []
+        for a, end in zip(starts, starts[1:], strict=False):
+            for i in range(a, end, BUNDLE):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_table(rows.take(pa.array(order[i : min(i + BUNDLE, end)])).combine_chunks())
+                clusters.append(found[order[i]])
+                bundles.append(sink.getvalue().to_pybytes())
+        yield pa.RecordBatch.from_arrays([pa.array(clusters, pa.int32()), pa.array(bundles, pa.binary())], ["cluster_id", "bundle"])
+
+
+def dealt(vectors: DataFrame, centres: Centres) -> DataFrame:
+    """vectors with cluster_id, dealt by it into partitions and sorted in them by cluster_id and orig_id; bundles of rows are shuffled."""
+    points, names = np.array(centres, np.float64), [f"v{j}" for j in range(len(centres[0]))]
+    first = vectors.select("orig_id", *(c for c in vectors.columns if c != "orig_id"))
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cluster, bundle in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                with pa.ipc.open_stream(bundle.as_buffer()) as stream:
+                    for rows in stream:
+                        yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.full(rows.num_rows, cluster, np.int32))], [*rows.schema.names, "cluster_id"])
+
+    bundles = first.mapInArrow(lambda batches: _bundles(batches, points, names), "cluster_id int, bundle binary").repartitionByRange("cluster_id")
+    rows = bundles.mapInArrow(unpack, T.StructType([*first.schema.fields, T.StructField("cluster_id", T.IntegerType())]))
+    return rows.select(*vectors.columns, "cluster_id").sortWithinPartitions("cluster_id", "orig_id")
+
+
 def means(assigned: DataFrame, dim: int) -> DataFrame:
     """cluster_id, n, c0...: means of each cluster, rounded towards zero."""
     sums = assigned.groupBy("cluster_id").agg(F.count("*").alias("n"), *(F.sum(F.col(f"v{j}").cast("bigint")).alias(f"s{j}") for j in range(dim)))

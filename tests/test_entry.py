@@ -97,6 +97,16 @@ def test_results_follow_a_rewritten_table(spark, tmp_path):
     assert fx.vec14(spark, str(folder)).count() == events.where("event_id < 300").count()
 
 
+def test_an_index_that_lost_rows_is_refused(spark, monkeypatch):
+    from nearvote.operators import kmeans
+    from nearvote.plans import fixtures as fx
+
+    dealt = kmeans.dealt
+    monkeypatch.setattr(kmeans, "dealt", lambda *a: dealt(*a).where("orig_id != 7"), raising=False)
+    with pytest.raises(ValueError, match="not complete"):
+        fx.index14(spark, SF, 5, 1)
+
+
 def test_a_shared_folder_is_asked_for_off_local_masters(spark):
     class Elsewhere:
         class conf:

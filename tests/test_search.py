@@ -330,3 +330,24 @@ def test_summary_of_distances(spark, data):
     for q in queries:
         every = [dist(q[2:], r[2:]) for r in rows]
         assert got[q[0]] == (len(every), min(every), max(every), sum(every))
+
+
+def test_an_index_is_shuffled_in_bundles(spark, monkeypatch):
+    """Rows of a cluster are shuffled together, compressed, and come out whole; before, each was a row of the shuffle."""
+    monkeypatch.setattr(kmeans, "BUNDLE", 7)
+    rows = random_rows(random.Random(3), 500)
+    rows = [(r[0], None if r[0] % 5 == 0 else r[1], *r[2:]) for r in rows] + [(900 + i, True, 1, 2, 3) for i in range(100)]
+    vectors = frame(spark, rows).repartition(3)
+    centres = kmeans.seeds(vectors, 9, DIM)
+    dealt = kmeans.dealt(vectors, centres)
+    want = kmeans.assign(vectors, centres)
+    assert dealt.schema == want.schema
+    parts = dealt.rdd.glom().collect()
+    assert sorted(map(repr, sum(parts, []))) == sorted(map(repr, want.collect()))
+    clusters = [{r["cluster_id"] for r in p} for p in parts if p]
+    assert sum(map(len, clusters)) == len(set().union(*clusters)) > 1  # each in one partition
+    assert all([(r["cluster_id"], r["orig_id"]) for r in p] == sorted((r["cluster_id"], r["orig_id"]) for r in p) for p in parts)
+    shuffled = [x for x in dealt._jdf.queryExecution().executedPlan().toString().splitlines() if "rangepartitioning" in x]
+    assert shuffled and all("bundle" in x or "REPARTITION_BY_COL" in x for x in shuffled)
+    wide = next(x for x in dealt._jdf.queryExecution().analyzed().toString().split("RepartitionByExpression")[1].splitlines()[1:] if "MapInArrow" in x)
+    assert "bundle" in wide and "v0" not in wide.split("[")[-1]
