@@ -276,6 +276,12 @@ def visitable(queries: DataFrame, clusters: DataFrame, vectors: DataFrame, dim:
     return lists.join(held, "qid", "left").select("qid", F.coalesce(F.col("top").cast(listed_as), empty).alias("probe_top"), "n_probe", "others")
 
 
+def exact(lists: DataFrame, k: int = K) -> DataFrame:
+    """qid, top: the k nearest of all vectors, from `visitable` lists; those leave out no cluster whose box is within the bound."""
+    every = F.concat("probe_top", F.flatten(F.transform("others", lambda x: x["top"])))
+    return lists.select("qid", F.slice(F.array_sort(every), 1, k).alias("top"))
+
+
 def fold(lists: DataFrame, fast: int = FAST, full: int = FULL, k: int = K) -> DataFrame:
     """qid, top, fraud_count, visited of `visitable` lists, under one budget; several budgets can share the lists."""
     start = F.struct(F.col("probe_top").alias("top"), F.col("n_probe").alias("vis"), F.lit(False).alias("esc"), F.lit(False).alias("stop"))

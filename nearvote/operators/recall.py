@@ -11,8 +11,9 @@ from .topk import gathered, votes
 
 
 def compared(exact: DataFrame, searched: DataFrame) -> DataFrame:
-    """qid, overlap, exact_count, fraud_count, visited; exact: ranked neighbours, searched: results of a search."""
-    ids = gathered(exact, ["qid"]).select("qid", F.transform("top", lambda x: x["orig_id"]).alias("ids"), votes(F.col("top")).alias("exact_count"))
+    """qid, overlap, exact_count, fraud_count, visited; exact: ranked neighbours, or qid and top; searched: results of a search."""
+    exact = exact if "top" in exact.columns else gathered(exact, ["qid"])
+    ids = exact.select("qid", F.transform("top", lambda x: x["orig_id"]).alias("ids"), votes(F.col("top")).alias("exact_count"))
     both = ids.join(searched, "qid")
     overlap = F.size(F.array_intersect("ids", F.transform("top", lambda x: x["orig_id"])))
     return both.select("qid", overlap.alias("overlap"), "exact_count", "fraud_count", "visited")

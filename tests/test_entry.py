@@ -107,6 +107,17 @@ def test_an_index_that_lost_rows_is_refused(spark, monkeypatch):
         fx.index14(spark, SF, 5, 1)
 
 
+@pytest.mark.parametrize("name", ["q35_recall_overlap", "q37_clusters_visited_percentiles"])
+def test_reports_of_many_pairs_search_once(spark, monkeypatch, name):
+    """Of many pairs the exact neighbours come from the lists of the search, with the same rows; before, all vectors were dealt anew for them."""
+    from nearvote.operators import ivf, knn
+
+    want = sorted(map(tuple, QUERIES[name](spark, SF).collect()))
+    monkeypatch.setattr(knn, "DENSE", 0)
+    monkeypatch.setattr(ivf, "by_cells", lambda *a: pytest.fail("dealt anew"))
+    assert sorted(map(tuple, QUERIES[name](spark, SF).collect())) == want
+
+
 def test_a_shared_folder_is_asked_for_off_local_masters(spark):
     class Elsewhere:
         class conf:

@@ -351,3 +351,10 @@ def test_an_index_is_shuffled_in_bundles(spark, monkeypatch):
     assert shuffled and all("bundle" in x or "REPARTITION_BY_COL" in x for x in shuffled)
     wide = next(x for x in dealt._jdf.queryExecution().analyzed().toString().split("RepartitionByExpression")[1].splitlines()[1:] if "MapInArrow" in x)
     assert "bundle" in wide and "v0" not in wide.split("[")[-1]
+
+
+def test_exact_neighbours_from_lists(data):
+    rows, queries, qdf, clusters, assigned = data
+    lists = ivf.visitable(qdf, clusters, assigned, DIM)
+    got = {r["qid"]: [tuple(x) for x in r["top"]] for r in ivf.exact(lists).collect()}
+    assert got == {q[0]: plain_knn(q, rows) for q in queries}
