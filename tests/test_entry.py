@@ -107,7 +107,7 @@ def test_an_index_that_lost_rows_is_refused(spark, monkeypatch):
         fx.index14(spark, SF, 5, 1)
 
 
-@pytest.mark.parametrize("name", ["q35_recall_overlap", "q37_clusters_visited_percentiles"])
+@pytest.mark.parametrize("name", ["q35_recall_overlap", "q36_recall_report", "q37_clusters_visited_percentiles"])
 def test_reports_of_many_pairs_search_once(spark, monkeypatch, name):
     """Of many pairs the exact neighbours come from the lists of the search, with the same rows; before, all vectors were dealt anew for them."""
     from nearvote.operators import ivf, knn
@@ -118,6 +118,17 @@ def test_reports_of_many_pairs_search_once(spark, monkeypatch, name):
     assert sorted(map(tuple, QUERIES[name](spark, SF).collect())) == want
 
 
+@pytest.mark.parametrize("name", ["q36_recall_report"])
+def test_reports_read_a_table(spark, monkeypatch, name):
+    """What is reported on is made once; before, each figure of a report searched anew."""
+    from nearvote.operators import recall
+
+    seen, report = [], recall.report
+    monkeypatch.setattr(recall, "report", lambda both, label: seen.append(both._jdf.queryExecution().optimizedPlan().toString()) or report(both, label))
+    assert QUERIES[name](spark, SF).count() == len(seen)
+    assert not any("Join" in x or "Aggregate" in x or "MapInArrow" in x for x in seen)
+
+
 def test_a_shared_folder_is_asked_for_off_local_masters(spark):
     class Elsewhere:
         class conf:
