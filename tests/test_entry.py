@@ -118,7 +118,7 @@ def test_reports_of_many_pairs_search_once(spark, monkeypatch, name):
     assert sorted(map(tuple, QUERIES[name](spark, SF).collect())) == want
 
 
-@pytest.mark.parametrize("name", ["q36_recall_report"])
+@pytest.mark.parametrize("name", ["q36_recall_report", "q37_clusters_visited_percentiles"])
 def test_reports_read_a_table(spark, monkeypatch, name):
     """What is reported on is made once; before, each figure of a report searched anew."""
     from nearvote.operators import recall
