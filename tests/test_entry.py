@@ -107,6 +107,16 @@ def test_an_index_that_lost_rows_is_refused(spark, monkeypatch):
         fx.index14(spark, SF, 5, 1)
 
 
+def test_an_index_of_many_clusters_is_dealt_once(spark, monkeypatch):
+    """Rows aren't assigned once more for the boxes, which come from the table written."""
+    from nearvote.operators import kmeans
+    from nearvote.plans import fixtures as fx
+
+    monkeypatch.setattr(kmeans, "assign", lambda *a: pytest.fail("assigned once more"))
+    clusters, vectors = fx.index14(spark, SF, 200, 1)
+    assert clusters.count() == 200 and vectors.count() == fx.vec14(spark, SF).count()
+
+
 @pytest.mark.parametrize("name", ["q35_recall_overlap", "q36_recall_report", "q37_clusters_visited_percentiles"])
 def test_reports_of_many_pairs_search_once(spark, monkeypatch, name):
     """Of many pairs the exact neighbours come from the lists of the search, with the same rows; before, all vectors were dealt anew for them."""
