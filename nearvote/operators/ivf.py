@@ -139,16 +139,16 @@ def _asked_by_name(sent: tuple, c: int) -> np.ndarray:
 
 def _asked_by_box(sent: tuple, c: int) -> np.ndarray:
     """Queries whose limit reaches the box of cluster c, but for those that it was a probe of."""
-    _, points, limits, probed, ids, low, high = sent
+    _, points, limits, probed, ids, _, low, high = sent
     i, real = int(np.searchsorted(ids, c)), low.dtype
     return np.flatnonzero((gaps(points.astype(real), low[i], high[i]) <= limits) & ~(probed == c).any(1))
 
 
-def scan(chosen: DataFrame, vectors: DataFrame, dim: int, k: int = K) -> DataFrame:
+def scan(chosen: DataFrame, vectors: DataFrame, dim: int, k: int = K, sent: list[Broadcast] | None = None) -> DataFrame:
     """qid, cluster_id, orig_id, is_fraud, dist for chosen (qid, q0..., cluster_id and perhaps bound): vectors of the cluster, within the bound.
 
     All that can be among the k nearest of a query and cluster are there. The rows of chosen go to where the vectors are, about MOST_SENT at a
-    time, and a task returns its k nearest.
+    time, and a task returns its k nearest. sent: gets what was sent, which may be destroyed once the result is written.
     """
     names, bounded = [f"q{j}" for j in range(dim)], "bound" in chosen.columns
     extra = ["qid", "cluster_id", *(["bound"] if bounded else [])]
@@ -158,14 +158,17 @@ def scan(chosen: DataFrame, vectors: DataFrame, dim: int, k: int = K) -> DataFra
     def of(rows: DataFrame) -> DataFrame:
         (qids, of_, *limit), points = brought(rows.select(*extra, *names), len(extra))
         limits = limit[0].astype(np.float64) if bounded else np.full(len(qids), np.inf)
-        return _scanned(vectors, dim, k, vectors.sparkSession.sparkContext.broadcast((qids, points, limits, of_)), _asked_by_name)
+        all_ = vectors.sparkSession.sparkContext.broadcast((qids, points, limits, of_))
+        if sent is not None:
+            sent.append(all_)
+        return _scanned(vectors, dim, k, all_, _asked_by_name)
 
     return reduce(DataFrame.unionByName, [of(chosen if n <= 1 else chosen.where(part == b)) for b in range(max(n, 1))])
 
 
-def _found(queries: DataFrame, clusters: DataFrame, vectors: DataFrame, dim: int, k: int, n_probe: int) -> DataFrame:
+def _found(queries: DataFrame, clusters: DataFrame, vectors: DataFrame, dim: int, k: int, n_probe: int, sent: list[Broadcast] | None = None) -> DataFrame:
     """qid, top: the k nearest in the probes; queries whose probes are empty aren't there."""
-    return gathered(top_k(scan(probes(queries, clusters, dim, n_probe), vectors, dim, k), ["qid"], k), ["qid"])
+    return gathered(top_k(scan(probes(queries, clusters, dim, n_probe), vectors, dim, k, sent), ["qid"], k), ["qid"])
 
 
 def _bound(k: int, kind: str) -> Column:
@@ -203,27 +206,54 @@ def candidates(queries: DataFrame, clusters: DataFrame, vectors: DataFrame, dim:
     return rows.select("qid", *names, "bound").mapInArrow(work, out)
 
 
-def _beyond_probes(queries: DataFrame, clusters: DataFrame, vectors: DataFrame, dim: int, k: int, n_probe: int, found: DataFrame) -> DataFrame:
-    """qid, cluster_id, orig_id, is_fraud, dist: within the bound of each query, the k nearest of each cluster that isn't a probe.
-
-    Queries go to where the vectors are, which know the boxes of their clusters, so no row is made for a query and a cluster.
-    """
+def _bounded(queries: DataFrame, clusters: DataFrame, vectors: DataFrame, dim: int, k: int, n_probe: int, found: DataFrame) -> list[tuple[DataFrame, Broadcast]]:
+    """Blocks of queries, each with its qids, points, bounds and probes, and the numbers, sizes and boxes of all clusters, sent to all tasks."""
     kind, sc = _kind(vectors), vectors.sparkSession.sparkContext
     real = np.float32 if kind == "float" else np.float64
-    ids, _, centres, low, high = _sent(clusters, dim).value
+    ids, sizes, centres, low, high = _sent(clusters, dim).value
     bounds = found.select("qid", _bound(k, kind).cast("double").alias("bound")).orderBy("qid").toArrow()
     named, most = bounds["qid"].to_numpy(), np.append(bounds["bound"].to_numpy(), np.float64(real(NO_BOUND)))
 
-    def of(block: DataFrame) -> DataFrame:
+    def of(block: DataFrame) -> Broadcast:
         (qids,), points = brought(_queries(block, dim), 1)
         at = np.searchsorted(named, qids)
         known = np.append(named, -1)[at] == qids
         limits = most[np.where(known & (at < len(named)), at, len(named))]
         near = [_nearest_centres(points[i : i + 4096].astype(np.float64), centres, n_probe, kind) for i in range(0, len(points), 4096)]
         probed = ids[np.concatenate(near)] if near else np.zeros((0, 1), np.int32)
-        return _scanned(vectors, dim, k, sc.broadcast((qids, points, limits, probed, ids, low.astype(real), high.astype(real))), _asked_by_box)
+        return sc.broadcast((qids, points, limits, probed, ids, sizes, low.astype(real), high.astype(real)))
+
+    return [(b, of(b)) for b in blocks(queries)]
 
-    return reduce(DataFrame.unionByName, [of(b) for b in blocks(queries)])
+
+def _beyond_probes(queries: DataFrame, clusters: DataFrame, vectors: DataFrame, dim: int, k: int, n_probe: int, found: DataFrame) -> DataFrame:
+    """qid, cluster_id, orig_id, is_fraud, dist: within the bound of each query, the k nearest of each cluster that isn't a probe.
+
+    Queries go to where the vectors are, which know the boxes of their clusters, so no row is made for a query and a cluster.
+    """
+    return reduce(DataFrame.unionByName, [_scanned(vectors, dim, k, sent, _asked_by_box) for _, sent in _bounded(queries, clusters, vectors, dim, k, n_probe, found)])
+
+
+def _with_near(rows: DataFrame, sent: Broadcast, kind: str) -> DataFrame:
+    """rows (qid and more) with n_probe and near: numbers and box bounds of the clusters within the query's bound, but for its probes."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qids, points, limits, probed, ids, sizes, low, high = sent.value
+        order = np.argsort(qids, kind="stable")
+        for every in batches:
+            for begin in range(0, every.num_rows, 256):
+                batch = every.slice(begin, 256)
+                at = order[np.searchsorted(qids, batch.column(0).to_numpy(), sorter=order)]
+                lb = gaps(points[at].astype(low.dtype)[:, None], low, high)
+                near = (sizes > 0) & (lb <= limits[at][:, None]) & ~(probed[at][:, :, None] == ids).any(1)
+                row, c = np.nonzero(near)
+                bounds = lb[row, c] if kind == "float" else lb[row, c].astype(np.int64)
+                listed = pa.StructArray.from_arrays([pa.array(ids[c]), pa.array(bounds)], ["cluster_id", "lb"])
+                listed = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(near.sum(1))), pa.int32()), listed)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(at), probed.shape[1], np.int32)), listed], [*batch.schema.names, "n_probe", "near"])
+
+    item = T.StructType([T.StructField("cluster_id", T.IntegerType()), T.StructField("lb", T.FloatType() if kind == "float" else T.LongType())])
+    return rows.mapInArrow(work, _fields(rows, T.StructField("n_probe", T.IntegerType()), T.StructField("near", T.ArrayType(item))))
 
 
 def by_cells(queries: DataFrame, vectors: DataFrame, dim: int, k: int = K) -> DataFrame:
@@ -262,18 +292,23 @@ def _merge(fast: int, full: int, k: int, kind: str):
 
 def visitable(queries: DataFrame, clusters: DataFrame, vectors: DataFrame, dim: int, k: int = K, n_probe: int = 1) -> DataFrame:
     """qid, probe_top, n_probe, others (cluster_id, lb, top): what any search of these queries may visit; see `fold`."""
-    held = materialise(_found(queries, clusters, vectors, dim, k, n_probe), "probes")
-    near = candidates(queries, clusters, vectors, dim, k, n_probe, held)
-    found = _beyond_probes(queries, clusters, vectors, dim, k, n_probe, held)
-    tops = gathered(top_k(found, ["qid", "cluster_id"], k), ["qid", "cluster_id"])
-    listed_as = _top_kind(_kind(vectors))
-    empty = F.array().cast(listed_as)
-    listed = near.select("qid", "cluster_id", "lb", "is_probe").join(tops, ["qid", "cluster_id"], "left").withColumn("top", F.coalesce(F.col("top").cast(listed_as), empty))
-    lists = listed.groupBy("qid").agg(
-        F.count_if("is_probe").cast("int").alias("n_probe"),
-        F.array_sort(F.collect_list(F.when(~F.col("is_probe"), F.struct("cluster_id", "lb", "top")))).alias("others"),
-    )
-    return lists.join(held, "qid", "left").select("qid", F.coalesce(F.col("top").cast(listed_as), empty).alias("probe_top"), "n_probe", "others")
+    probing: list[Broadcast] = []
+    held = materialise(_found(queries, clusters, vectors, dim, k, n_probe, probing), "probes")
+    for sent in probing:
+        sent.destroy()
+    kind = _kind(vectors)
+    empty = F.array().cast(_top_kind(kind))
+
+    def of(block: DataFrame, sent: Broadcast) -> DataFrame:
+        # only what was found is shuffled, once, by query; boxes are looked at where a query's own row is, so none is shuffled
+        found = _scanned(vectors, dim, k, sent, _asked_by_box).repartition("qid")
+        tops = gathered(top_k(found, ["qid", "cluster_id"], k), ["qid", "cluster_id"])
+        tops = tops.groupBy("qid").agg(F.map_from_entries(F.collect_list(F.struct("cluster_id", F.col("top").cast(_top_kind(kind)).alias("top")))).alias("tops"))
+        return _with_near(block.select(F.col("orig_id").alias("qid")).distinct().join(tops, "qid", "left").join(held, "qid", "left"), sent, kind)
+
+    rows = reduce(DataFrame.unionByName, [of(*b) for b in _bounded(queries, clusters, vectors, dim, k, n_probe, held)])
+    others = F.transform("near", lambda x: F.struct(x["cluster_id"].alias("cluster_id"), x["lb"].alias("lb"), F.coalesce(F.col("tops")[x["cluster_id"]], empty).alias("top")))
+    return rows.select("qid", F.coalesce(F.col("top").cast(_top_kind(kind)), empty).alias("probe_top"), "n_probe", others.alias("others"))
 
 
 def exact(lists: DataFrame, k: int = K) -> DataFrame:

@@ -1,5 +1,6 @@
 """Search, k-means and recall against plain Python."""
 
+import os
 import random
 
 import numpy as np
@@ -358,3 +359,41 @@ def test_exact_neighbours_from_lists(data):
     lists = ivf.visitable(qdf, clusters, assigned, DIM)
     got = {r["qid"]: [tuple(x) for x in r["top"]] for r in ivf.exact(lists).collect()}
     assert got == {q[0]: plain_knn(q, rows) for q in queries}
+
+
+def _shuffled(plan):
+    """Rows that the exchanges of an executed plan have written."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return _shuffled(plan.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return _shuffled(plan.plan())
+    own = plan.metrics().apply("shuffleRecordsWritten").value() if kind == "ShuffleExchangeExec" else 0
+    return own + sum(_shuffled(plan.children().apply(i)) for i in range(plan.children().size()))
+
+
+@pytest.mark.parametrize("n_probe", [1, 3])
+def test_a_search_shuffles_only_what_it_found(data, monkeypatch, n_probe):
+    """Before, a row for each query and cluster within its bound was shuffled, and lists of them once more; what probes were sent stayed on disk."""
+    rows, queries, qdf, clusters, assigned = data
+    sent, kind = [], type(qdf.sparkSession.sparkContext)
+    broadcast = kind.broadcast
+    monkeypatch.setattr(kind, "broadcast", lambda self, value: sent.append((len(value), out := broadcast(self, value))) or out)
+    spark, small = qdf.sparkSession, "spark.sql.autoBroadcastJoinThreshold"
+    was = spark.conf.get(small)
+    spark.conf.set(small, "-1")  # as if tables were large
+    try:
+        lists = ivf.visitable(qdf, clusters, assigned, DIM, n_probe=n_probe)
+        got = {r["qid"]: r for r in lists.collect()}
+    finally:
+        spark.conf.set(small, was)
+    assert [b for n, b in sent if n == 4] and not any(os.path.exists(b._path) for n, b in sent if n == 4)
+    moved = _shuffled(lists._jdf.queryExecution().executedPlan())
+    held = ivf._found(qdf, clusters, assigned, DIM, K, n_probe)
+    found = ivf._beyond_probes(qdf, clusters, assigned, DIM, K, n_probe, held).count()
+    assert 0 < moved <= found + 3 * len(queries) and set(got) == {q[0] for q in queries}
+    near = {}
+    for r in ivf.candidates(qdf, clusters, assigned, DIM, n_probe=n_probe).where("NOT is_probe").collect():
+        near.setdefault(r["qid"], []).append((r["cluster_id"], r["lb"]))
+    assert {q: [(x["cluster_id"], x["lb"]) for x in r["others"]] for q, r in got.items()} == {q: sorted(near.get(q, [])) for q in got}
+    assert all(r["n_probe"] == n_probe for r in got.values())
