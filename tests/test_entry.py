@@ -128,6 +128,19 @@ def test_reports_of_many_pairs_search_once(spark, monkeypatch, name):
     assert sorted(map(tuple, QUERIES[name](spark, SF).collect())) == want
 
 
+@pytest.mark.parametrize("name", ["q32_ivf_fast8"])
+def test_no_cluster_that_may_matter_is_left_out(spark, name):
+    """Votes are those of all vectors, and every cluster within the distance of the fifth neighbour is visited; before, a budget left some out."""
+    exact = {r["qid"]: r["fraud_count"] for r in QUERIES["q16_fraud_vote"](spark, SF).collect()}
+    fifth = {r["qid"]: r["dist"] for r in QUERIES["q14_exact_knn14"](spark, SF).where("rank = 5").collect()}
+    near = {}
+    for r in QUERIES["q30_bbox_candidates"](spark, SF).collect():
+        near.setdefault(r["qid"], []).append(r["is_probe"] or r["lb"] <= fifth[r["qid"]])
+    got = {r["qid"]: r for r in QUERIES[name](spark, SF).collect()}
+    assert {q: r["fraud_count"] for q, r in got.items()} == exact
+    assert all(sum(near[q]) <= r["visited"] <= len(near[q]) for q, r in got.items())
+
+
 @pytest.mark.parametrize("name", ["q36_recall_report", "q37_clusters_visited_percentiles"])
 def test_reports_read_a_table(spark, monkeypatch, name):
     """What is reported on is made once; before, each figure of a report searched anew."""
